@@ -40,6 +40,8 @@ U = np.uint64
 _POS = U((1 << 26) - 1)
 #: A row: its id, and a hash of its text for ids that more than one row has.
 KEY = ["row_key", "row_tag"]
+#: Stands for a null id while rows are joined.
+NO_ID = -(2**63) + 1
 
 
 def _runs(words: tx.Words, window: int, k: int):
@@ -159,7 +161,7 @@ def remove_repeats(documents: DataFrame, window: int = 35, k: int = 8, id_col: s
     if not 0 < k <= window or window - k > 62:
         raise ValueError("need 0 < k <= window <= k + 62")
     key = F.col(id_col).cast("long")
-    docs = documents.select(F.coalesce(key, F.lit(-1)).alias("row_key"), F.hash(key.isNull(), text_col).alias("row_tag"), key.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(docs.drop("doc_id"), window, k)
-    joined = docs.join(spans, KEY, "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
+    docs = documents.select(F.coalesce(key, F.lit(NO_ID)).alias("row_key"), F.hash(text_col).alias("row_tag"), F.col(text_col).cast("string").alias("text"))
+    spans = repeated_spans(docs, window, k)  # both joins read the same columns, so one exchange of the texts serves them
+    joined = docs.join(spans, KEY, "left").select(F.expr(f"nullif(row_key, {NO_ID}L)").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "spans")
     return joined.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
