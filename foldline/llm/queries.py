@@ -23,9 +23,27 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from foldline.llm import langid
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.filter("not held_out"))
+    return langid.predict(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", F.col("score"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldline.llm.decontam import contained_items
+
+    return contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_jaccard_join": op7_jaccard_join,
+    "op9_decontamination": op9_decontamination,
 }
 
 SQL: dict[str, str] = {
@@ -52,4 +70,15 @@ edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
 reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, edge.y FROM reach JOIN edge ON edge.x = reach.r)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(r) FROM reach WHERE reach.doc_id = w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id)""",
+    "op9_decontamination": r"""
+WITH lowered AS (SELECT 'd' AS k, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+                 UNION ALL SELECT 'i', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT k, id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM lowered),
+item AS (SELECT DISTINCT id, least(len(ws), 5) AS m, array_to_string(ws[i:i + least(len(ws), 5) - 1], ' ') AS g
+         FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE k = 'i' AND len(ws) > 0)),
+doc AS (SELECT DISTINCT id, m, array_to_string(ws[i:i + m - 1], ' ') AS g
+        FROM (SELECT id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT DISTINCT m FROM item) WHERE k = 'd' AND len(ws) >= m)),
+n AS (SELECT id, count(*) AS n FROM item GROUP BY id),
+hit AS (SELECT doc.id AS doc_id, item.id AS item_id, count(*) AS c FROM doc JOIN item USING (m, g) GROUP BY doc.id, item.id)
+SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item, CAST(c AS BIGINT) AS n_shared FROM hit JOIN n ON n.id = item_id WHERE 100 * c >= 80 * n""",
 }
