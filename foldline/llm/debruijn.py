@@ -9,10 +9,10 @@ inside it, the one of least hash, the leftmost of equals.  Windows of equal word
 equal anchors at equal distance, so edges can only be repeated together with their anchor.
 Consecutive windows of one anchor are a path.  Paths that are the same word sequence
 compact into one row with a multiplicity (map side first, so a group of copies costs one
-row for each task).  A path of multiplicity 2 has repeated edges only and never branches;
-paths that occur once are split, and a join with the counted edges of all distinct paths
-shows which of their edges another path shares.  A last join takes each path's mask back
-to its source coordinates (document, first word), where masks merge into spans.
+row for each task).  Where distinct paths share an anchor the graph may branch: the edges
+of the distinct paths are counted with their multiplicity, and those that occur once are
+cut out of the one path they are on.  A join takes each path, so cut, back to its source
+coordinates (document, first word), where neighbouring paths merge into spans.
 
 Identity: a path is known by its anchor and a hash of all its words (64 bits each), an
 edge by its anchor and the hash of its words (64 bits each), compared only between
@@ -146,11 +146,11 @@ def repeated_spans(docs: DataFrame, window: int, k: int) -> DataFrame:
     found = found.mapInArrow(_paths(window, k), "anchor long, path long, edges array<long>, row_key long, row_tag int, start int, n int")
     paths = found.groupBy("anchor", "path", "edges").agg(F.count(F.lit(1)).alias("copies"))
     edges = paths.select("anchor", "path", "copies", F.posexplode("edges").alias("at", "edge"))
-    shared = edges.groupBy("anchor", "edge").agg(F.sum("copies").alias("total")).filter("total > 1").select("anchor", "edge")
-    single = edges.filter("copies = 1").join(shared, ["anchor", "edge"], "left_semi")
-    masks = single.groupBy("anchor", "path").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
-    masks = masks.unionByName(paths.filter("copies > 1").select("anchor", "path", F.lit(-1).cast("long").alias("mask")))
-    where = found.select("anchor", "path", *KEY, "start", "n").join(masks, ["anchor", "path"])
+    # An edge of one occurrence names the one path it is on, so no join leads back to it.
+    alone = edges.groupBy("anchor", "edge").agg(F.sum("copies").alias("total"), F.min("path").alias("path"), F.min("at").alias("at")).filter("total = 1")
+    masks = alone.groupBy("anchor", "path").agg(F.expr("bit_or(shiftleft(1L, at))").alias("alone"))
+    where = found.select("anchor", "path", *KEY, "start", "n").join(masks, ["anchor", "path"], "left")
+    where = where.withColumn("mask", F.expr("shiftleft(1L, n) - 1 & ~coalesce(alone, 0L)")).filter("mask <> 0")
     return where.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", "mask")).alias("spans"))
 
 
