@@ -39,9 +39,59 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from foldline.llm import langid, qda
+    from foldline.llm.shared import table
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out())
+    stats = table(qda.with_statistics(docs, ["doc_id", "held_out"]), "statistics")
+    labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = qda.fit(stats.filter("not held_out").join(labels, "doc_id"))
+    return qda.predict(stats, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+#: The tree of op6 and of the pipeline: domains are the sources' numbers modulo 3.
+MIX_LEVELS = {"domain": "concat('d', try_cast(regexp_extract(source, '[0-9]+$', 0) AS INT) % 3)", "lang": "lang", "source": "source"}
+MIX_WEIGHTS = {"domain": "CASE domain WHEN 'd0' THEN 5 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END", "lang": "CASE lang WHEN 'en' THEN 4 WHEN '(none)' THEN 1 ELSE 2 END"}
+MIX_BUDGET, MIX_EPOCHS, MIX_SEED = 0.6, 2, 7
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldline.llm.mixing import mix
+
+    return mix(_read(spark, sf_dir, "documents"), MIX_LEVELS, MIX_WEIGHTS, MIX_BUDGET, MIX_EPOCHS, MIX_SEED)
+
+
+def _mix_sql() -> str:
+    from foldline.llm.mixing import share_sql
+
+    names, out = list(MIX_LEVELS), []
+    for i, name in enumerate(names):
+        keys = ["root", *names[:i]]
+        out.append(f"l{i} AS (SELECT {', '.join(keys)}, {name}, CAST(sum(cap) AS BIGINT) AS cap, CAST(max(w_{name}) AS BIGINT) AS w FROM leaf GROUP BY {', '.join(keys)}, {name})")
+        out.append(f"b{i} AS ({share_sql(f'l{i}', f'b{i - 1}' if i else 'top', keys, name, '//')})")
+    weights = ", ".join(f"{MIX_WEIGHTS.get(n, '1')} AS w_{n}" for n in names)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce('d' || (TRY_CAST(regexp_extract(source, '[0-9]+$', 0) AS INT) % 3), '(none)') AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+                  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens FROM documents),
+doc AS (SELECT * FROM d WHERE n_tokens > 0),
+leaf AS (SELECT *, tokens * {MIX_EPOCHS} AS cap, {weights} FROM (SELECT 0 AS root, domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM doc GROUP BY domain, lang, source)),
+top AS (SELECT 0 AS root, least(CAST(sum(cap) AS BIGINT), CAST(sum(tokens) AS BIGINT) * {round(MIX_BUDGET * 1000)} // 1000) AS budget FROM leaf),
+{", ".join(out)},
+share AS (SELECT domain, lang, source, CAST(budget // (cap // {MIX_EPOCHS}) AS INT) AS whole, budget % (cap // {MIX_EPOCHS}) AS rest FROM b{len(names) - 1}),
+placed AS (SELECT doc.*, whole, rest, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{MIX_SEED}:' || whole || ':' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+           FROM doc JOIN share USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, CAST(whole AS INT) AS epoch, n_tokens, CAST(least(n_tokens, rest - ahead) AS BIGINT) AS n_taken FROM placed WHERE ahead < rest
+UNION ALL SELECT doc_id, domain, lang, source, CAST(e AS INT), n_tokens, n_tokens FROM placed, unnest(range(0, whole)) r(e)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_quality": op5_quality,
+    "op6_mixing": op6_mixing,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_decontamination": op9_decontamination,
 }
@@ -81,4 +131,5 @@ doc AS (SELECT DISTINCT id, m, array_to_string(ws[i:i + m - 1], ' ') AS g
 n AS (SELECT id, count(*) AS n FROM item GROUP BY id),
 hit AS (SELECT doc.id AS doc_id, item.id AS item_id, count(*) AS c FROM doc JOIN item USING (m, g) GROUP BY doc.id, item.id)
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item, CAST(c AS BIGINT) AS n_shared FROM hit JOIN n ON n.id = item_id WHERE 100 * c >= 80 * n""",
+    "op6_mixing": _mix_sql(),
 }
