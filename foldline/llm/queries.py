@@ -11,6 +11,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldline.llm.warc import archive
+
+    return archive(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldline.llm.debruijn import remove_repeats
 
@@ -23,6 +29,14 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op1_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from foldline.llm.ann import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -75,7 +89,8 @@ def _mix_sql() -> str:
     weights = ", ".join(f"{MIX_WEIGHTS.get(n, '1')} AS w_{n}" for n in names)
     return rf"""
 WITH d AS (SELECT doc_id, coalesce('d' || (TRY_CAST(regexp_extract(source, '[0-9]+$', 0) AS INT) % 3), '(none)') AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
-                  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens FROM documents),
+                  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS n_tokens FROM documents),
 doc AS (SELECT * FROM d WHERE n_tokens > 0),
 leaf AS (SELECT *, tokens * {MIX_EPOCHS} AS cap, {weights} FROM (SELECT 0 AS root, domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM doc GROUP BY domain, lang, source)),
 top AS (SELECT 0 AS root, least(CAST(sum(cap) AS BIGINT), CAST(sum(tokens) AS BIGINT) * {round(MIX_BUDGET * 1000)} // 1000) AS budget FROM leaf),
@@ -88,7 +103,9 @@ UNION ALL SELECT doc_id, domain, lang, source, CAST(e AS INT), n_tokens, n_token
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rotated_codes": op1_rotated_codes,
     "op2_language_id": op2_language_id,
+    "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
