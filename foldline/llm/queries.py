@@ -47,6 +47,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", F.col("score"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldline.llm.html_extract import extract
+
+    return extract(_read(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldline.llm.decontam import contained_items
 
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_html_text": op8_html_text,
     "op9_decontamination": op9_decontamination,
 }
 
