@@ -108,6 +108,13 @@ SELECT doc_id, domain, lang, source, CAST(whole AS INT) AS epoch, n_tokens, CAST
 UNION ALL SELECT doc_id, domain, lang, source, CAST(e AS INT), n_tokens, n_tokens FROM placed, unnest(range(0, whole)) r(e)"""
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldline.llm import pii
+
+    docs = _read(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rotated_codes": op1_rotated_codes,
     "op2_language_id": op2_language_id,
@@ -118,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_html_text": op8_html_text,
     "op9_decontamination": op9_decontamination,
+    "op10_pii": op10_pii,
 }
 
 SQL: dict[str, str] = {
