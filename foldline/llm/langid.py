@@ -80,17 +80,17 @@ class Pieces:
 
     def __init__(self, names: list[str]):
         self.size = len(names) + 1
-        by: dict[int, list] = {}
-        for i, p in enumerate(names, 1):
-            cps = np.frombuffer(p.encode("utf-32-le"), np.uint32)
-            h = None
-            for m in range(1, len(cps) + 1):
-                h = _substring_hash(cps, np.zeros(1, np.int64), m, h)
-            by.setdefault(len(cps), []).append((int(h[0]), i))
+        by: dict[int, list[int]] = {}
+        for i, p in enumerate(names):
+            by.setdefault(len(p), []).append(i)
         self.by = {}
         for m, found in by.items():
-            found.sort()
-            self.by[m] = (np.array([h for h, _ in found], U), np.array([i for _, i in found], np.int64))
+            cps = np.frombuffer("".join(names[i] for i in found).encode("utf-32-le"), np.uint32)
+            first, h = np.arange(len(found)) * m, None
+            for j in range(1, m + 1):
+                h = _substring_hash(cps, first, j, h)
+            order = np.argsort(h)
+            self.by[m] = (h[order], np.array(found)[order] + 1)
         self.longest = max(self.by, default=1)
 
     def lookup(self, m: int, h: np.ndarray) -> np.ndarray:
@@ -246,31 +246,56 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     return {"pieces": names, "langs": langs, "prob": prob.astype(np.float32)}
 
 
+def classify(col: pa.Array, model: dict, vocab: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the number of its language (that of ``und`` is the last) and the score."""
+    n, prob = len(col), model["prob"].astype(np.float64)
+    row, number, cps, start = _words(col)
+    best, score = np.full(n, prob.shape[1]), np.zeros(n)
+    if len(row) and prob.shape[1]:
+        log = np.zeros((len(start), prob.shape[1]))
+        for c, s, part in _groups(cps, start):
+            lat = Lattice(c, s, vocab)
+            log[part] = np.log(np.maximum(lat.forward(lat.weights(prob))[lat.last], 1e-300)) - _GAIN * (lat.end - lat.start)[:, None]
+        total = np.stack([np.bincount(row, weights=log[number, j], minlength=n) for j in range(log.shape[1])], axis=1)
+        some = np.bincount(row, minlength=n) > 0
+        share = np.exp(total - total.max(axis=1, keepdims=True))
+        best = np.where(some, total.argmax(axis=1), best)
+        score = np.where(some, share.max(axis=1) / share.sum(axis=1), 0.0)
+    return best, score
+
+
 def _predict(model: dict):
-    langs = [*model["langs"], "und"]
+    langs = pa.array([*model["langs"], "und"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, prob = Pieces(model["pieces"]), model["prob"].astype(np.float64)
+        vocab = Pieces(model["pieces"])
         for b in tx.chunked(batches, "text"):
-            n = b.num_rows
-            row, number, cps, start = _words(b.column("text"))
-            best, score = np.full(n, len(langs) - 1), np.zeros(n)
-            if len(row) and len(langs) > 1:
-                log = np.zeros((len(start), len(langs) - 1))
-                for c, s, part in _groups(cps, start):
-                    lat = Lattice(c, s, vocab)
-                    log[part] = np.log(np.maximum(lat.forward(lat.weights(prob))[lat.last], 1e-300)) - _GAIN * (lat.end - lat.start)[:, None]
-                total = np.stack([np.bincount(row, weights=log[number, j], minlength=n) for j in range(log.shape[1])], axis=1)
-                some = np.bincount(row, minlength=n) > 0
-                part = np.exp(total - total.max(axis=1, keepdims=True))
-                best = np.where(some, total.argmax(axis=1), best)
-                score = np.where(some, part.max(axis=1) / part.sum(axis=1), 0.0)
+            best, score = classify(b.column("text"), model, vocab)
             keep = [b.column(i) for i, f in enumerate(b.schema) if f.name != "text"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(langs).take(pa.array(best)), pa.array(score)], names=[*(f.name for f in b.schema if f.name != "text"), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*keep, langs.take(pa.array(best)), pa.array(score)], names=[*(f.name for f in b.schema if f.name != "text"), "lang_pred", "score"])
 
     return run
 
 
+def _identified(model: dict, text_col: str, lang_col: str, least: float):
+    langs = pa.array([*model["langs"], "und"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = Pieces(model["pieces"])
+        for b in tx.chunked(batches, text_col):
+            best, score = classify(b.column(b.schema.get_field_index(text_col)), model, vocab)
+            at = b.schema.get_field_index(lang_col)
+            b = b.set_column(at, b.schema.field(at), langs.take(pa.array(best)).cast(b.schema.field(at).type))
+            yield b.filter(pa.array((best < len(langs) - 1) & (score >= least)))
+
+    return run
+
+
+def keep_identified(documents: DataFrame, model: dict, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows with a language of score ``least`` or more, all columns; lang is the one found."""
+    return documents.mapInArrow(_identified(model, text_col, lang_col, least), documents.schema)
+
+
 def predict(documents: DataFrame, model: dict, keys: list[str], text_col: str = "text") -> DataFrame:
     """The ``keys`` columns, lang_pred and score (its posterior at equal priors) of every row."""
     docs = documents.select(*keys, F.col(text_col).cast("string").alias("text")).withColumn("text", F.coalesce("text", F.lit("")))
