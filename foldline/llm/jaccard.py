@@ -9,7 +9,7 @@ that share l of them.  Two documents are candidates if they share min(lx, ly) sh
 within that prefix of both; candidates are verified on their whole shingle sets.
 
 Hot groups: documents of one shingle set compact into a class first (map side first).
-Then neighbours in each shingle's postings, which are as many as the postings, are
+Then hubs and neighbours in each shingle's postings, two for each posting at most, are
 verified and joined into components.  After that only postings of more than one component
 matter, and there only pairs of different components: a large group of near copies, by
 then one component, is never expanded into pairs.  All other candidates are verified, so
@@ -181,16 +181,21 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, max_lev
     scored = postings.join(often, "token").withColumn("level", F.greatest(F.lit(1), F.col("place") - F.col("size") + need + 1))
     meets = [F.sum(F.when(F.col("level") <= n, F.col("df") - 1).otherwise(0)).alias(f"f{n}") for n in range(1, max_level + 1)]
     cost = F.array_min(F.array(*[F.when(F.lit(n) <= need, F.struct((F.col(f"f{n}") * (1 + 2.0 * F.col("size") / n)).alias("cost"), F.lit(n).alias("scheme"))) for n in range(1, max_level + 1)]))
-    schemes = scored.groupBy("rep", "size").agg(*meets).select("rep", "size", cost["scheme"].alias("scheme"))
-    chosen = table(scored.join(schemes, ["rep", "size"]).filter("level <= scheme").select("token", "rep", "size", "level", "scheme"), "prefixes")
+    schemes = scored.groupBy("rep", "size").agg(*meets).select("rep", "size", cost["scheme"].alias("scheme"), F.col("f1").alias("met"))
+    chosen = table(scored.join(schemes, ["rep", "size"]).filter("level <= scheme").select("token", "rep", "size", "level", "scheme", "met"), "prefixes")
 
     wanted = chosen.select("rep").distinct()
     texts = table(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"), "texts")
 
-    # First links: neighbours in the postings.
-    w = Window.partitionBy("token").orderBy("size", "rep")
-    near = chosen.select("token", "rep", "size", "level", "scheme", *[F.lag(c).over(w).alias(f"{c}2") for c in ("rep", "size", "level", "scheme")])
-    near = near.filter(f"rep2 <> rep and 100L * size2 >= {percent}L * size and greatest(level, level2) <= least(scheme, scheme2)")
+    # First links: in each posting list with its hub (the document whose prefix meets most),
+    # which a group's original tends to be, and with the neighbour by that order.
+    part = Window.partitionBy("token")
+    w = part.orderBy(F.desc("met"), "size", "rep")
+    other = F.struct("rep", "size", "level", "scheme")
+    near = chosen.select("token", "rep", "size", "level", "scheme", F.first(other).over(w).alias("hub"), F.lag(other).over(w).alias("before"))
+    near = near.select("token", "rep", "size", "level", "scheme", F.explode(F.array_distinct(F.array("hub", "before"))).alias("o")).filter("o is not null")
+    near = near.select("rep", "size", "level", "scheme", *[F.col(f"o.{c}").alias(f"{c}2") for c in ("rep", "size", "level", "scheme")])
+    near = near.filter(f"rep2 <> rep and 100L * least(size, size2) >= {percent}L * greatest(size, size2) and greatest(level, level2) <= least(scheme, scheme2)")
     near = near.groupBy(F.least("rep", "rep2").alias("x"), F.greatest("rep", "rep2").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("scheme", "scheme2")).alias("l")).filter("n >= l")
     tried = table(near.select("x", "y"), "neighbours")
     links = table(_verified(tried, texts, k, percent), "links1")
