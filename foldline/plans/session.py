@@ -310,7 +310,7 @@ def chain_collapse(s: Session) -> None:
     """Settled turns whose digest pays become one use and one result that holds the digest."""
     discount = jp.utf8(wd.header(99, s.id)) - jp.utf8(wd.short_header(99))
     starts = [i for i, r in enumerate(s.records) if r.row["real_user"]]
-    for a, b in zip(starts, [*starts[1:], len(s.records)], strict=True):
+    for a, b in zip(starts, [*starts, len(s.records)][1:], strict=True):
         _fold_turn(s, range(a + 1, b), discount)
 
 
