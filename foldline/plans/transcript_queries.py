@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foldline.functions.preview import minify, preview
 from foldline.functions.shell import read_targets
-from foldline.plans import compaction, verbs
+from foldline.plans import compaction, housekeeping, metrics, verbs
 from foldline.plans.catalog import query, read
 from foldline.sources.transcripts import from_lines
 
@@ -96,3 +96,59 @@ def _previews(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @query()
 def previews(spark, d):
     return read(spark, d, "documents").select("doc_id", "text").mapInArrow(_previews, "doc_id long, preview string, minified_chars long")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS uuid FROM conversations""")
+def record_sizes(spark, d):
+    return housekeeping.record_sizes(session_lines(spark, d)).select("uuid")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS file_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")
+def refs_dump(spark, d):
+    texts = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("ref"), F.col("turn").alias("seq"), F.lit(0).alias("n"), "text")
+    return housekeeping.refs_dump(texts).withColumnRenamed("ref", "file_id")
+
+
+@query("""SELECT band, count(*) AS files, CAST(sum(b) AS BIGINT) AS "before", CAST(sum(a) AS BIGINT) AS "after", round(100.0::DOUBLE * (1 - CAST(sum(a) AS DOUBLE) / CAST(sum(b) AS DOUBLE)), 4) AS saved_percent
+FROM (SELECT conv_id, sum(octet_length(encode(text))) AS b, sum(least(octet_length(encode(text)), 400)) AS a, CASE WHEN sum(octet_length(encode(text))) < 2000 THEN 'short' ELSE 'long' END AS band FROM conversations GROUP BY conv_id) GROUP BY band""")
+def savings_by_band(spark, d):
+    size = F.octet_length("text").cast("long")
+    files = read(spark, d, "conversations").groupBy("conv_id").agg(F.sum(size).alias("before"), F.sum(F.least(size, F.lit(400))).alias("after"))
+    return metrics.savings(files, F.when(F.col("before") < 2000, "short").otherwise("long"))
+
+
+@query("""SELECT count(CASE WHEN a < b THEN 1 END) AS wins, count(CASE WHEN a = b THEN 1 END) AS ties, count(CASE WHEN a > b THEN 1 END) AS losses, quantile_cont(CAST(b - a AS DOUBLE), 0.5) AS median_gap
+FROM (SELECT conv_id, CAST(sum(CASE WHEN role = 'user' THEN octet_length(encode(text)) ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE WHEN role = 'assistant' THEN octet_length(encode(text)) ELSE 0 END) AS BIGINT) AS b FROM conversations GROUP BY conv_id)""")
+def compare_sizes(spark, d):
+    part = lambda r: F.sum(F.when(F.col("role") == r, F.octet_length("text")).otherwise(0)).cast("long")
+    return metrics.compare(read(spark, d, "conversations").groupBy("conv_id").agg(part("user").alias("a"), part("assistant").alias("b")), "a", "b")
+
+
+@query("""SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(max(value), 6) AS "max", round(max(CASE WHEN r = least(n - 1, floor(n * 0.9)) THEN value END), 6) AS p90, round(max(CASE WHEN r = least(n - 1, floor(n * 0.95)) THEN value END), 6) AS p95
+FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY event_type""")
+def latency_report(spark, d):
+    out = metrics.rank_percentiles(read(spark, d, "events"), ["event_type"], "value", {"p90": 0.9, "p95": 0.95})
+    return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "median", "max", "p90", "p95")])
+
+
+@query("""SELECT conv_id, turn FROM (SELECT *, max(CASE WHEN role = 'system' THEN turn END) OVER (PARTITION BY conv_id) AS cut FROM conversations) WHERE cut IS NULL OR turn > cut OR turn = 0""")
+def model_visible(spark, d):
+    return metrics.model_visible(read(spark, d, "conversations"), F.col("role") == "system", F.col("turn") == 0, "conv_id", "turn").select("conv_id", "turn")
+
+
+@query("""SELECT doc_id, CASE WHEN reason IS NULL THEN choice END AS baseline, reason FROM (SELECT *, CASE WHEN choice IS NULL THEN CASE WHEN o THEN 'no clean backup' ELSE 'archive does not cover it' END WHEN n_chars < 1024 THEN 'too small' END AS reason
+FROM (SELECT doc_id, n_chars, o, CASE WHEN NOT m AND NOT o THEN 'self' WHEN m AND NOT o AND c THEN 'archive' WHEN o AND b THEN 'backup' END AS choice
+FROM (SELECT doc_id, n_chars, doc_id % 2 = 0 AS m, doc_id % 5 = 0 AS o, doc_id % 3 = 0 AS c, doc_id % 7 = 0 AS b FROM documents)))""")
+def baseline_choice(spark, d):
+    flags = {n: F.col("doc_id") % k == 0 for n, k in (("marked", 2), ("other_tool", 5), ("covered", 3), ("backup", 7))}
+    return metrics.baseline(read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("bytes")).withColumns(flags)).select("doc_id", "baseline", "reason")
+
+
+@query()
+def route_events(spark, d):
+    """Events routed one by one per user, as the stream does it, on a table."""
+    from foldline.streaming import events
+
+    names = F.create_map(*[F.lit(x) for kv in {"view": "Stop", "click": "UserPromptSubmit", "signup": "SessionStart", "purchase": "SessionEnd", "error": "PreCompact"}.items() for x in kv])
+    e = read(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), names[F.col("event_type")].alias("hook_event_name"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"))
+    return events.route(e)

@@ -37,21 +37,31 @@ def decide(event: str, at: float, last: float | None, ended: bool) -> tuple[str,
     return "compact", woke, at, event == "SessionEnd"
 
 
-def _route(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, ended = state.get if state.exists else (None, False)
-    last = None if last is None or last < 0 else last
-    rows = pd.concat(list(frames)).sort_values("at", kind="stable")
+def _fold(session: str, rows: pd.DataFrame, last: float | None, ended: bool) -> tuple[pd.DataFrame, float | None, bool]:
     out = []
-    for name, at in zip(rows["hook_event_name"], rows["at"], strict=True):
+    for name, at in rows.sort_values(["at", "hook_event_name"], kind="stable")[["hook_event_name", "at"]].itertuples(index=False):
         action, woke, last, ended = decide(name, float(at), last, ended)
-        out.append((key[0], name, float(at), action, woke))
+        out.append((session, name, float(at), action, woke))
+    return pd.DataFrame(out, columns=["session_id", "hook_event_name", "at", "action", "woke"]), last, ended
+
+
+def _route(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    last, ended = state.get if state.exists else (-1.0, False)
+    out, last, ended = _fold(key[0], pd.concat(list(frames)), None if last < 0 else last, ended)
     state.update((-1.0 if last is None else last, ended))
-    yield pd.DataFrame(out, columns=["session_id", "hook_event_name", "at", "action", "woke"])
+    yield out
+
+
+def _route_all(key: tuple[str], rows: pd.DataFrame) -> pd.DataFrame:
+    return _fold(key[0], rows, None, False)[0]
 
 
 def route(events: DataFrame) -> DataFrame:
     """What to do at each event, for a stream or a table of EVENT rows."""
-    return events.select("session_id", "hook_event_name", "at").groupBy("session_id").applyInPandasWithState(_route, ACTION, "last double, ended boolean", "update", GroupStateTimeout.NoTimeout)
+    by_session = events.select("session_id", "hook_event_name", "at").filter("hook_event_name is not null and at is not null").groupBy("session_id")
+    if events.isStreaming:
+        return by_session.applyInPandasWithState(_route, ACTION, "last double, ended boolean", "update", GroupStateTimeout.NoTimeout)
+    return by_session.applyInPandas(_route_all, ACTION)
 
 
 def archive_into(mirror_path: str):

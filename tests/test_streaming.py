@@ -28,6 +28,8 @@ def test_route_as_a_stream(spark, tmp_path):
     q = events.route(stream).writeStream.outputMode("update").format("memory").queryName("routed").trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {(r.session_id, r.at): (r.action, r.woke) for r in spark.table("routed").collect()}
+    table = spark.createDataFrame(rows, events.EVENT)
+    assert {(r.session_id, r.at): (r.action, r.woke) for r in events.route(table).collect()} == got
     assert got == {("a", 0.0): ("compact", False), ("a", 60.0): ("skip", False), ("b", 60.0): ("compact", False), ("a", 300.0): ("compact", False), ("a", 310.0): ("compact", True)}
 
 
