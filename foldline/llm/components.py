@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.shared import table
+from foldline.llm.shared import drop, table
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame, a: str = "x", b: str = "y", most: int = 60) ->
         if now == seen or not now[0]:
             break
         seen = now
-        e = table(_small(_large(e)), "stars")
+        before, e = e, table(_small(_large(e)), "stars")
+        drop(before)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

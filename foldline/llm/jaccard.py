@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from foldline.llm import text as tx
 from foldline.llm.components import components
-from foldline.llm.shared import table
+from foldline.llm.shared import drop, table
 
 U = np.uint64
 SKETCH_BITS = 18
@@ -183,6 +183,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, max_lev
     cost = F.array_min(F.array(*[F.when(F.lit(n) <= need, F.struct((F.col(f"f{n}") * (1 + 2.0 * F.col("size") / n)).alias("cost"), F.lit(n).alias("scheme"))) for n in range(1, max_level + 1)]))
     schemes = scored.groupBy("rep", "size").agg(*meets).select("rep", "size", cost["scheme"].alias("scheme"), F.col("f1").alias("met"))
     chosen = table(scored.join(schemes, ["rep", "size"]).filter("level <= scheme").select("token", "rep", "size", "level", "scheme", "met"), "prefixes")
+    drop(postings)
 
     wanted = chosen.select("rep").distinct()
     texts = table(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"), "texts")
@@ -209,5 +210,6 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, max_lev
     pairs = minor.join(mixed, "token").filter(f"comp <> comp2 and (comp = major or rep < rep2) and 100L * least(size, size2) >= {percent}L * greatest(size, size2) and greatest(level, level2) <= least(scheme, scheme2)")
     pairs = pairs.groupBy(F.least("rep", "rep2").alias("x"), F.greatest("rep", "rep2").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("scheme", "scheme2")).alias("l")).filter("n >= l")
     more = _verified(pairs.join(tried, ["x", "y"], "left_anti"), texts, k, percent)
-    final = components(links.unionByName(more))
+    final = components(links.unionByName(more))  # writes its links first, so all of these have been read
+    drop(chosen, texts, tried, links, mixed)
     return classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -51,11 +51,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table() that nothing reads any more."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/foldline/" in path:
-            _delete(spark, path)
+def drop(*tables: DataFrame) -> None:
+    """Delete table()s that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._scratch)
