@@ -185,8 +185,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, max_lev
     chosen = table(scored.join(schemes, ["rep", "size"]).filter("level <= scheme").select("token", "rep", "size", "level", "scheme", "met"), "prefixes")
     drop(postings)
 
-    wanted = chosen.select("rep").distinct()
-    texts = table(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"), "texts")
+    # Texts are read for pairs only, straight from the input; one exchange of them serves
+    # both ends of the pairs.
+    texts = docs.filter("doc_id is not null").withColumnRenamed("doc_id", "rep")
 
     # First links: in each posting list with its hub (the document whose prefix meets most),
     # which a group's original tends to be, and with the neighbour by that order.
@@ -211,5 +212,5 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, max_lev
     pairs = pairs.groupBy(F.least("rep", "rep2").alias("x"), F.greatest("rep", "rep2").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("scheme", "scheme2")).alias("l")).filter("n >= l")
     more = _verified(pairs.join(tried, ["x", "y"], "left_anti"), texts, k, percent)
     final = components(links.unionByName(more))  # writes its links first, so all of these have been read
-    drop(chosen, texts, tried, links, mixed)
+    drop(chosen, tried, links, mixed)
     return classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
