@@ -6,8 +6,10 @@ others have a unary potential by shape (number of digits, signs), learned from h
 words of that shape are covered, and never above that of the label "outside": shape alone
 adds nothing.  Words that stand side by side share a chain potential, learned from the
 labels of neighbours.  Distant words that are equal, or end in the same seven digits (alone or with
-the group beside them), or have the same local part before an ``@``, share a skip potential that favours equal labels;
-each is linked with the next such word, so links are as many as words.  Loopy sum-product
+the group beside them), or have the same local part before an ``@``, share a skip potential that favours equal labels.
+Each is linked with every such observed word: those are fixed, so their links are summed
+into its unary potential by counts for each key.  Unobserved ones are linked with the next
+unobserved one.  Work and links are linear in words.  Loopy sum-product
 message passing, damped, with a fixed number of rounds, gives each word's marginals; a word
 whose entity label has ``accept`` or more is added, and added neighbours of one label are
 one span.
@@ -25,6 +27,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -164,29 +167,60 @@ def fit(documents: DataFrame, rows: int = 20_000, text_col: str = "text", id_col
     return {"unary": logs, "chain": np.clip(pair - pair.mean(), -3, 3), "skip": skip * np.eye(LABELS), "accept": accept, "rounds": rounds}
 
 
-def _links(text: str, ws: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Each word with the last one before it of an equal key.  Short groups of digits count
-    only together with the group beside them, and then both are linked."""
-    last: dict = {}
-    out = set()
+def _keys(text: str, ws: list[tuple[int, int]]) -> list[list[tuple]]:
+    """What each word links by.  Short groups of digits count only together with the group
+    beside them, and then both link: with a whole word each, with two groups in their order."""
+    out: list[list[tuple]] = [[] for _ in ws]
     before, stop = "", -9
     for i, (a, b) in enumerate(ws):
         word = text[a:b].strip(_EDGE).lower()
         digits = _NOT_DIGIT.sub("", word)
-        keys = [(1, "w", word)] if len(word) >= (6 if digits == word else 4) else []
+        if len(word) >= (6 if digits == word else 4):
+            out[i].append(("w", word))
         if len(digits) >= 7:
-            keys.append((1, "d", digits[-7:]))
+            out[i] += [("d", digits[-7:]), ("e", digits[-7:])]
         elif digits and a - stop <= 2 and len(before) + len(digits) >= 7:
-            keys.append((2, "d", (before + digits)[-7:]))
+            whole = (before + digits)[-7:]
+            out[i].append(("d", whole))
+            out[i - 1].append(("e", whole))
         if "@" in word and len(word.split("@")[0]) >= 3:
-            keys.append((1, "l", word.split("@")[0]))
-        for n, *k in keys:
-            j, m = last.get(tuple(k), (-1, 0))
-            if m:
-                out.update((j - min(x, m - 1), i - x) for x in range(n))
-            last[tuple(k)] = i, n
+            out[i].append(("l", word.split("@")[0]))
         before, stop = digits, b
-    return sorted((x, y) for x, y in out if x != y)
+    return [list(dict.fromkeys(k)) for k in out]
+
+
+def _subsets(keys: list[tuple]) -> list[tuple[tuple, int]]:
+    """Each non-empty subset with its sign for inclusion and exclusion."""
+    return [(tuple(sorted(c)), 1 if n % 2 else -1) for n in range(1, len(keys) + 1) for c in combinations(keys, n)]
+
+
+def _seen_links(keys: list[list[tuple]], label: np.ndarray) -> np.ndarray:
+    """How many observed words of each label share a key with each unobserved word, each
+    pair once; linear in words."""
+    total: dict[tuple, np.ndarray] = {}
+    for k, y in zip(keys, label.tolist(), strict=True):
+        if y >= 0:
+            for s, _ in _subsets(k):
+                total.setdefault(s, np.zeros(LABELS))[y] += 1
+    out = np.zeros((len(keys), LABELS))
+    for i in np.flatnonzero(label < 0).tolist():
+        if any((k,) in total for k in keys[i]):
+            for s, sign in _subsets(keys[i]):
+                if s in total:
+                    out[i] += sign * total[s]
+    return out
+
+
+def _links(keys: list[list[tuple]], label: np.ndarray) -> list[tuple[int, int]]:
+    """Each unobserved word with the last unobserved one before it of an equal key."""
+    last: dict[tuple, int] = {}
+    out = set()
+    for i in np.flatnonzero(label < 0).tolist():
+        for k in keys[i]:
+            if k in last:
+                out.add((last[k], i))
+            last[k] = i
+    return sorted(out)
 
 
 def marginals(unary: np.ndarray, edges: np.ndarray, potential: np.ndarray, rounds: int) -> np.ndarray:
@@ -223,7 +257,9 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: dict) -> lis
     seen = np.flatnonzero(label >= 0)
     unary[seen] = -20.0
     unary[seen, label[seen]] = 0.0
-    beside, links = _beside(text, ws), np.array(_links(text, ws), np.int64).reshape(-1, 2)
+    keys = _keys(text, ws)
+    unary = unary + _seen_links(keys, label) @ model["skip"]
+    beside, links = _beside(text, ws), np.array(_links(keys, label), np.int64).reshape(-1, 2)
     edges = np.concatenate([np.column_stack([beside, beside + 1]), links])
     potential = np.concatenate([np.broadcast_to(model["chain"], (len(beside), LABELS, LABELS)), np.broadcast_to(model["skip"], (len(links), LABELS, LABELS))])
     p = marginals(unary, edges, potential, model["rounds"])

@@ -125,6 +125,35 @@ def test_field_adds_repeats_and_leaves_clean_text(spark):
     assert pii.find(df.limit(0), model, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 50])
+@pytest.mark.parametrize("last", [False, True])
+def test_field_adds_every_mention_of_an_observed_entity(n, last):
+    outside = pii.LABELS - 1
+    chain = np.zeros((pii.LABELS, pii.LABELS))
+    model = {"unary": {}, "chain": chain, "skip": 5.0 * np.eye(pii.LABELS), "accept": 0.8, "rounds": 12}
+    for full, short, kind in (("bob.smith@example.com", "bob.smith@host", 0), ("+44 20 7946 0958", "7946 0958", 3), ("+44 20 7946 0958", "020-79460958", 3)):
+        mentions = "".join(f"then some words and {short} again. " for _ in range(n))
+        text = f"{mentions}Mail {full} now." if last else f"Mail {full} now. {mentions}"
+        base = pii.base_spans(text)
+        assert [k for _, k, _ in base] == [kind] and kind != outside
+        added = pii.added_spans(text, base, model)
+        assert [(k, text[a:b]) for a, k, b in added] == [(kind, short)] * n
+
+
+def test_links_with_observed_words_count_each_pair_once():
+    rng = np.random.default_rng(5)
+    bits = ["bob@a.b", "bob@host", "4412345", "1234567", "123", "4567", "99-1234567", "x1234567", "bob@a1234567"]
+    for _ in range(200):
+        text = " ".join(rng.choice(bits, 12))
+        ws = pii.words(text)
+        keys, label = pii._keys(text, ws), rng.integers(-1, pii.LABELS - 1, len(ws))
+        want = np.zeros((len(ws), pii.LABELS))
+        for i in np.flatnonzero(label < 0):
+            for j in np.flatnonzero(label >= 0):
+                want[i, label[j]] += bool(set(keys[i]) & set(keys[j]))
+        assert (pii._seen_links(keys, label) == want).all()
+
+
 def test_message_passing_on_a_tree_is_exact():
     rng = np.random.default_rng(0)
     unary, pot, edges = rng.normal(size=(4, 3)), rng.normal(size=(3, 3, 3)), np.array([[0, 1], [1, 2], [1, 3]])
