@@ -95,25 +95,32 @@ def annotate(records: DataFrame) -> DataFrame:
 _NEEDED = ["file_id", "pos", "raw", "type", "uuid", "parent", "sidechain", "guarded", "preserved", "real_user", "turns_after", "results_after", "drop_rule"]
 
 
-def _rewrite(parents: dict[str, set[str]]):
-    def run(t: pa.Table) -> pa.Table:
-        rows = t.sort_by("pos").to_pylist()
-        s = Session(rows[0]["file_id"], rows, parents)
-        lines, refused = compact_session(s)
-        if refused:
-            lines = [r["raw"] for r in rows]
-        return pa.table({
-            "file_id": [s.id] * len(rows), "pos": pa.array([r["pos"] for r in rows], pa.int32()), "line": pa.array(lines, pa.string()),
-            "rule": pa.array([None if refused else r.rule for r in s.records], pa.string()), "refused": pa.array([refused] * len(rows), pa.string()),
-        })
-
-    return run
-
-
-def rewrite(records: DataFrame, parents: dict[str, set[str]] | None = None) -> DataFrame:
+def _rewrite(t: pa.Table) -> pa.Table:
+    rows = t.sort_by("pos").to_pylist()
+    parents: dict[str, set[str]] = {}
+    for r in rows:
+        for p in r["fork_of"] or ():
+            parents.setdefault(p, set()).add(r["uuid"])
+    s = Session(rows[0]["file_id"], rows, parents)
+    lines, refused = compact_session(s)
+    if refused:
+        lines = [r["raw"] for r in rows]
+    return pa.table({
+        "file_id": [s.id] * len(rows), "pos": pa.array([r["pos"] for r in rows], pa.int32()), "line": pa.array(lines, pa.string()),
+        "rule": pa.array([None if refused else r.rule for r in s.records], pa.string()), "refused": pa.array([refused] * len(rows), pa.string()),
+    })
+
+
+def rewrite(records: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """file_id, pos, line (null if the record goes), rule (what changed it) and refused (why
-    the whole file stays as it is, else null)."""
-    return annotate(records).select(*_NEEDED).groupBy("file_id").applyInArrow(_rewrite(parents or {}), OUT)
+    the whole file stays as it is, else null).  copies (file_id, uuid, parent): records that a
+    fork copied from its parent, whose archive the fork's has adopted."""
+    rows = annotate(records).select(*_NEEDED)
+    if copies is None:
+        rows = rows.withColumn("fork_of", F.lit(None).cast("array<string>"))
+    else:
+        rows = rows.join(copies.groupBy("file_id", "uuid").agg(F.collect_set(F.lower("parent")).alias("fork_of")), ["file_id", "uuid"], "left")
+    return rows.groupBy("file_id").applyInArrow(_rewrite, OUT)
 
 
 def compact_lines(lines: DataFrame) -> DataFrame:

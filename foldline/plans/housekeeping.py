@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldline.functions import jsonpatch as jp
+from foldline.plans.session import NAMED
+
 
 def record_sizes(lines: DataFrame) -> DataFrame:
     """uuid and bytes of each line, by the first uuid in it; no JSON is parsed."""
@@ -24,25 +30,79 @@ def refs_dump(texts: DataFrame) -> DataFrame:
     return texts.groupBy("ref").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "\n").alias("text"))
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        named = [sorted({m.lower() for t in jp.strings(jp.loads(x.removesuffix("\r"))) for m in NAMED.findall(t)}) for x in b.column("raw").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("uuid"), b.column("marked"), pa.array(named, pa.list_(pa.string()))], names=["file_id", "uuid", "marked", "named"])
+
+
+def marks(records: DataFrame) -> DataFrame:
+    """file_id, uuid and marked of each marked record, and the sessions that its retrieval
+    commands name, in lower case."""
+    return records.filter("marked").select("file_id", "uuid", "marked", "raw").mapInArrow(_marks, "file_id string, uuid string, marked boolean, named array<string>")
+
+
 def mirror_lost(records: DataFrame, mirror: DataFrame) -> DataFrame:
     """Sessions with rewritten records whose archive is gone: they must be left alone."""
     return records.filter("marked").select("file_id").distinct().join(mirror.select("file_id").distinct(), "file_id", "left_anti")
 
 
-def fork_parents(records: DataFrame, mirror: DataFrame) -> DataFrame:
-    """file_id, parent: sessions whose archive holds marked records of another session."""
-    marked = records.filter("marked and uuid is not null").select("file_id", "uuid")
+def left_alone(marked: DataFrame, mirror: DataFrame) -> DataFrame:
+    """The lost sessions out of marks(): a fork has no archive before its first pass, so one
+    whose marked records are in another archive is not lost unless it names itself."""
+    own = marked.filter(F.array_contains("named", F.lower("file_id"))).select("file_id").distinct()
+    forks = fork_parents(marked, mirror).select("file_id").distinct().join(own, "file_id", "left_anti")
+    return mirror_lost(marked, mirror).join(forks, "file_id", "left_anti")
+
+
+def _held_elsewhere(records: DataFrame, mirror: DataFrame) -> DataFrame:
     other = mirror.select(F.col("file_id").alias("parent"), "uuid").filter("uuid is not null")
-    return marked.join(other, "uuid").filter("parent <> file_id").select("file_id", "parent").distinct()
+    return records.filter("marked and uuid is not null").join(other, "uuid").filter("parent <> file_id")
+
+
+def fork_parents(records: DataFrame, mirror: DataFrame) -> DataFrame:
+    """file_id, parent: sessions whose marked records another session's archive holds."""
+    return _held_elsewhere(records, mirror).select("file_id", "parent").distinct()
+
+
+def fork_copies(marked: DataFrame, mirror: DataFrame) -> DataFrame:
+    """file_id, uuid, parent: records out of marks() that name a session whose archive holds
+    them.  One that the named archive lacks only quotes its commands."""
+    held = _held_elsewhere(marked, mirror).filter(F.array_contains("named", F.lower("parent")) & (F.lower("parent") != F.lower("file_id")))
+    return held.select("file_id", "uuid", "parent").distinct()
+
+
+def _rebind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for file_id, line in zip(b.column("file_id").to_pylist(), b.column("line").to_pylist(), strict=True):
+            try:
+                root = jp.loads(line)
+            except ValueError:
+                root = None
+            if isinstance(root, dict) and root.get("sessionId") is not None:
+                line = jp.dumps(root | {"sessionId": file_id})
+            out.append(line)
+        at = b.schema.get_field_index("line")
+        yield b.set_column(at, b.schema.field(at), pa.array(out, pa.string()))
+
+
+def adopt_parents(mirror: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows that give each session's archive the records of its parents (file_id, parent)
+    that it lacks, after its own and under its id."""
+    pairs = pairs.select("file_id", "parent").distinct()
+    theirs = mirror.filter("uuid is not null").withColumnRenamed("file_id", "parent").join(pairs, "parent")
+    more = theirs.join(mirror.select("file_id", "identity"), ["file_id", "identity"], "left_anti")
+    once = more.withColumn("_c", F.row_number().over(Window.partitionBy("file_id", "identity").orderBy("parent", "seq"))).filter("_c = 1")
+    last = mirror.groupBy("file_id").agg(F.max("seq").alias("_s"))
+    numbered = once.withColumn("_n", F.row_number().over(Window.partitionBy("file_id").orderBy("parent", "seq"))).join(last, "file_id", "left")
+    rows = numbered.select("file_id", (F.coalesce("_s", F.lit(-1)) + F.col("_n")).cast("long").alias("seq"), "identity", "uuid", "line")
+    return rows.mapInArrow(_rebind, "file_id string, seq long, identity string, uuid string, line string")
 
 
 def adopt_parent(mirror: DataFrame, file_id: str, parent: str) -> DataFrame:
-    """Rows that give a session's archive its parent's records that it lacks, after its own."""
-    own = mirror.filter(F.col("file_id") == file_id)
-    more = mirror.filter((F.col("file_id") == parent) & F.col("uuid").isNotNull()).join(own.select("identity"), "identity", "left_anti")
-    last = own.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_s"))
-    numbered = more.withColumn("_n", F.row_number().over(Window.partitionBy("file_id").orderBy("seq")))
-    return numbered.crossJoin(F.broadcast(last)).select(F.lit(file_id).alias("file_id"), (F.col("_s") + F.col("_n")).alias("seq"), "identity", "uuid", "line")
+    """adopt_parents for one session and parent."""
+    return adopt_parents(mirror, mirror.sparkSession.range(1).select(F.lit(file_id).alias("file_id"), F.lit(parent).alias("parent")))
 
 
 def largest(files: DataFrame) -> DataFrame:

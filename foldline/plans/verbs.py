@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldline.functions import jsonpatch as jp
-from foldline.plans import compaction, session
+from foldline.plans import compaction, housekeeping, session
 from foldline.plans import wording as wd
 from foldline.sources import transcripts
+from foldline.sources.scratch import Scratch
 from foldline.sources.transcripts import blocks
 
 EXTENSIONS = {"image/png": ".png", "image/jpeg": ".jpg", "image/webp": ".webp", "image/gif": ".gif", "application/pdf": ".pdf"}
@@ -21,14 +22,21 @@ EXTENSIONS = {"image/png": ".png", "image/jpeg": ".jpg", "image/webp": ".webp",
 
 def compact(spark: SparkSession, path: str, mirror_path: str, out_path: str, frozen: DataFrame | None = None) -> DataFrame:
     """Archive, then rewrite all transcripts under a folder.  The archive's append is done
-    before anything is rewritten; frozen sessions (file_id) are only archived.  The result
-    (file_id, pos, line, rule, refused) is written to out_path."""
+    before anything is rewritten; frozen sessions (file_id) are only archived.  Sessions with
+    rewritten records whose archive is lost are left alone: a fresh archive would hide the
+    loss.  A fork's archive adopts its parents' records before its records name it (if it had
+    an archive, restore it with merged=True).  The result (file_id, pos, line, rule, refused) is written to out_path."""
+    cut = Scratch(spark).cut
     records = transcripts.scan(spark, path)
     mirror = read_mirror(spark, mirror_path)
-    compaction.missing_originals(records, mirror).write.mode("append").parquet(mirror_path)
-    if frozen is not None:
-        records = records.join(frozen.select("file_id").distinct(), "file_id", "left_anti")
-    compaction.rewrite(records).write.mode("overwrite").parquet(out_path)
+    marked = cut(housekeeping.marks(records))
+    records = records.join(cut(housekeeping.left_alone(marked, mirror)), "file_id", "left_anti")
+    live = records if frozen is None else records.join(frozen.select("file_id").distinct(), "file_id", "left_anti")
+    copies = cut(housekeeping.fork_copies(marked, mirror).join(live.select("file_id").distinct(), "file_id", "left_semi"))
+    # Before the fork's own lines, of which the parent's pass may have changed parentUuid.
+    housekeeping.adopt_parents(mirror, copies).write.mode("append").parquet(mirror_path)
+    compaction.missing_originals(records, read_mirror(spark, mirror_path)).write.mode("append").parquet(mirror_path)
+    compaction.rewrite(live, copies).write.mode("overwrite").parquet(out_path)
     return spark.read.parquet(out_path)
 
 

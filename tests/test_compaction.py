@@ -251,3 +251,51 @@ def test_uuid_less_copies_are_counted(spark):
     assert first.count() == 4
     one = first.filter("seq in (0, 3)")
     assert compaction.missing_originals(recs, one).count() == 2
+
+
+def write_session(folder, name, lines):
+    folder.mkdir(exist_ok=True)
+    (folder / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+
+
+def test_a_fork_adopts_its_parent_and_names_itself(spark, tmp_path):
+    mirror = f"file://{tmp_path}/mirror"
+    parent = folding("parent-session")
+    write_session(tmp_path / "one", "parent-session", parent.lines)
+    first = verbs.compact(spark, f"file://{tmp_path}/one", mirror, f"file://{tmp_path}/out1")
+    kept = [r.line for r in first.orderBy("pos").collect() if r.line is not None]
+    assert any("retrieve('parent-session'" in x for x in kept)
+    copied = [jp.dumps(jp.loads(x) | {"sessionId": "forked-session"}) for x in kept]
+    own = {"type": "user", "uuid": "new-1", "parentUuid": json.loads(kept[-1])["uuid"], "sessionId": "forked-session", "message": {"role": "user", "content": "go on"}}
+    quote = {"type": "assistant", "uuid": "new-2", "parentUuid": "new-1", "sessionId": "forked-session", "foldline": {"v": 1, "rule": "x", "origUuid": "new-2"}, "message": {"role": "assistant", "content": [{"type": "text", "text": "I ran retrieve('parent-session', ref='1')"}]}}
+    last = own | {"uuid": "new-3"}
+    fork = [*copied, *(json.dumps(x, separators=(",", ":")) for x in (own, quote, last))]
+    write_session(tmp_path / "two", "forked-session", fork)
+    src = f"file://{tmp_path}/two"
+    result = [r for r in verbs.compact(spark, src, mirror, f"file://{tmp_path}/out2").orderBy("pos").collect() if r.line is not None]
+    assert all(r.refused is None for r in result)
+    assert ["parent-session" in r.line for r in result].count(True) == 1 and "parent-session" in next(r.line for r in result if '"new-2"' in r.line)  # a quotation stays
+    assert any("retrieve('forked-session'" in r.line for r in result)
+    archive = verbs.read_mirror(spark, mirror)
+    have = archive.filter("file_id = 'forked-session'")
+    assert {json.loads(x)["uuid"] for x in parent.lines} <= {r.uuid for r in have.collect()}
+    ref = next(json.loads(r.line)["uuid"][:8] for r in result if "retrieve('forked-session'" in r.line)
+    assert verbs.retrieve(archive, "forked-session", ref=ref).count() == verbs.retrieve(archive, "parent-session", ref=ref).count() > 0
+    merged = [r.line for r in verbs.restored(archive, transcripts.scan(spark, src).filter("uuid <> 'new-2'"), merged=True).filter("file_id = 'forked-session'").orderBy("pos").collect()]
+    assert merged == [x.replace("parent-session", "forked-session") for x in parent.lines] + [fork[-3], fork[-1]]
+    before = archive.count()
+    write_session(tmp_path / "two", "forked-session", [r.line for r in result])
+    again = [r.line for r in verbs.compact(spark, src, mirror, f"file://{tmp_path}/out3").orderBy("pos").collect() if r.line is not None]
+    assert again == [r.line for r in result] and verbs.read_mirror(spark, mirror).count() == before
+
+
+def test_a_session_whose_archive_is_lost_is_left_alone(spark, tmp_path):
+    write_session(tmp_path / "in", "lost-session", folding("lost-session").lines)
+    src = f"file://{tmp_path}/in"
+    first = verbs.compact(spark, src, f"file://{tmp_path}/mirror1", f"file://{tmp_path}/out1")
+    write_session(tmp_path / "in", "lost-session", [r.line for r in first.orderBy("pos").collect() if r.line is not None])
+    write_session(tmp_path / "in", "good-session", readable("good-session").lines)
+    for _ in range(2):  # the first pass must not hide the loss from the second
+        result = verbs.compact(spark, src, f"file://{tmp_path}/mirror2", f"file://{tmp_path}/out2")
+        assert {r.file_id for r in result.collect()} == {"good-session"}
+        assert {r.file_id for r in verbs.read_mirror(spark, f"file://{tmp_path}/mirror2").collect()} == {"good-session"}
