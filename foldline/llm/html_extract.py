@@ -4,7 +4,8 @@ A page becomes a tree (void elements, omitted end tags of the block elements, ra
 scripts and styles, comments).  Each paragraph gives 1 point, 1 for each comma and 1 for
 each 100 characters up to 3, to its parent and half of that to its grandparent.  Blocks of
 navigation, forms, adverts, notices, comments and the like are taken out first, by element
-and by class or id.  A container's points are discounted by its link density.  The best
+and by class or id (whole names; not where one holds most of the page's text, and not at
+all where that leaves little; comments only go back in if nothing else is left).  A container's points are discounted by its link density.  The best
 container is kept, with those of its siblings that score a fifth as well or are
 paragraphs of their own weight; inside, lists and boxes that are mostly links are dropped.
 A page that marks its article (one ``article`` or ``main`` element with most of the
@@ -42,11 +43,18 @@ ENDS = {
     "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|rail|widget|related|recommended|trending|popular|share|sharing|social|comments?|commentlist|disqus|replies|respond|footer|masthead|site-?header|page-?header|pagination|pager|tags?|skip|toolbar|search|copyright|legal|disclaimer)(?:$|[\s_-]|\d)",
-    re.I,
+_COMMENTS = r"comments?|commentlist|disqus|replies|respond"
+_OTHERS = (
+    r"ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|rail|widget|related|recommended|trending|popular|share|sharing|social|footer|masthead|site-?header|page-?header|pagination|pager|tags?|skip|toolbar|search|copyright|legal|disclaimer"
 )
+_BEFORE, _AFTER = r"site|page|post|entry|article|main|global|primary|secondary|left|right|top|bottom", r"list|box|bar|area|links?|buttons?|posts|items?|left|right|top|bottom|form|section|container|wrapper|wrap"
+#: A class or id of such words only, with their places or forms and a number ("cookie-banner",
+#: "site-nav", "ad-1"); "has-sidebar" or "tag-python" say something about other things.
+UNLIKELY, COMMENTS = (re.compile(rf"(?:(?:{_BEFORE})[_-])?(?:{words})(?:[_-](?:{_COMMENTS}|{_OTHERS}|{_AFTER}))*[_-]?\d*", re.I) for words in (_OTHERS, _COMMENTS))
+#: Without an article or main element elsewhere, one named so is kept all the same if it holds
+#: more than MOST of the page's text outside links and comments; a result of less than LEAST of it is tried again.
+MOST, LEAST = 0.5, 0.25
 UNLIKELY_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar form".split())
 _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
 _END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
@@ -126,22 +134,48 @@ def _unlikely(n: Node) -> bool:
         if up is None:
             return True
     a = n.attrs
-    if not a:
-        return False
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in UNLIKELY_ROLES or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    return bool(UNLIKELY.search(a.get("class", "")) or UNLIKELY.search(a.get("id", "")))
+    return bool(a) and ("hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in UNLIKELY_ROLES or "display:none" in a.get("style", "").replace(" ", "").lower())
+
+
+def _named(n: Node) -> str:
+    """What class and id say of an element: "comments", "unlikely" or nothing."""
+    if not n.attrs or n.name in ("html", "body", "article", "main"):
+        return ""
+    given = f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".split()
+    return "comments" if any(map(COMMENTS.fullmatch, given)) else "unlikely" if any(map(UNLIKELY.fullmatch, given)) else ""
 
 
-def _walk(root: Node) -> list[Node]:
-    """All elements that are kept, parents first; the others are cut off."""
+def _walk(root: Node, cut: tuple[str, ...]) -> tuple[list[Node], float]:
+    """All elements that are kept, parents first (the others are cut off), and the characters
+    outside links and comments if any element was cut by what _named says and no article is
+    marked outside, else 0."""
     out, stack = [], [root]
     while stack:
         n = stack.pop()
         out.append(n)
         n.kids = [k for k in n.kids if isinstance(k, str) or not _unlikely(k)]
         stack += [k for k in n.kids if not isinstance(k, str)]
-    return out
+    named = {id(n): what for n in out if (what := _named(n)) in cut and what}
+    if not named:
+        return out, 0
+    size: dict[int, int] = {}
+    for n in reversed(out):
+        own = sum(len(k.strip()) if isinstance(k, str) else size[id(k)] for k in n.kids)
+        size[id(n)] = 0 if n.name == "a" or named.get(id(n)) == "comments" else own
+    inside: set[int] = set()
+    for n in out:
+        if id(n) in named or n.parent is not None and id(n.parent) in inside:
+            inside.add(id(n))
+    # A page that marks its article elsewhere needs nothing of what is named.
+    marked = any(n.name in ("article", "main") and id(n) not in inside and size[id(n)] for n in out)
+    whole = 0 if marked else size[id(root)]
+    kept, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        kept.append(n)
+        n.kids = [k for k in n.kids if isinstance(k, str) or id(k) not in named or whole and named[id(k)] == "unlikely" and size[id(k)] > whole * MOST]
+        stack += [k for k in n.kids if not isinstance(k, str)]
+    return kept, whole if len(kept) < len(out) else 0
 
 
 def _blocks(n: Node) -> list[str]:
@@ -178,8 +212,16 @@ def main_text(page: str | None) -> str:
     """The page's main text (see the module's text)."""
     if not page:
         return ""
+    text, whole = _scored(page, ("comments", "unlikely"))
+    if whole and len(text) < whole * LEAST:
+        text = max(text, _scored(page, ("comments",))[0], key=len)
+    return text or _scored(page, ())[0]
+
+
+def _scored(page: str, cut: tuple[str, ...]) -> tuple[str, float]:
+    """The best container's text after cutting elements of such names, and _walk's measure."""
     root = parse(page)
-    nodes = _walk(root)
+    nodes, total = _walk(root, cut)
     for n in reversed(nodes):
         for k in n.kids:
             if isinstance(k, str):
@@ -211,7 +253,7 @@ def main_text(page: str | None) -> str:
                         scored.append(up)
                     up.points += points * share
     if not scored:
-        return " ".join(_blocks(root))
+        return " ".join(_blocks(root)), total
     final = {id(n): n.points * (1 - _density(n)) for n in scored}
     best = max(scored, key=lambda n: final[id(n)])
     marked = [n for n in nodes if n.name == "article"] or [n for n in nodes if n.name == "main"]
@@ -237,7 +279,7 @@ def main_text(page: str | None) -> str:
             n = stack.pop()
             n.kids = [k for k in n.kids if isinstance(k, str) or not (k.name in ("ul", "ol", "div", "section", "table") and k.linked and _density(k) > 0.5)]
             stack += [k for k in n.kids if not isinstance(k, str)]
-    return " ".join(t for k in keep for t in _blocks(k))
+    return " ".join(t for k in keep for t in _blocks(k)), total
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

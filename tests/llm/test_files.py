@@ -62,6 +62,21 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("name", ["page has-sidebar", "content with-sidebar", "no-sidebar", "post tag-python", "hentry category-news tag-eu", "legal-text", "search", "notice"])
+def test_a_content_wrapper_is_not_cut_by_its_class(name):
+    words = "One sentence, and then another one, long enough to count as text of the page itself."
+    body = "".join(f"<p>{i} {words}</p>" for i in range(3))
+    page = f'<body><p class="cookie-banner">We use cookies, many of them.</p><div class="{name}"><h1>Title</h1>{body}<div class="ad-1"><p>Buy now, buy, buy.</p></div></div><div id="comments"><p>{words * 30}</p></div></body>'
+    assert main_text(page) == " ".join(["Title", *(f"{i} {words}" for i in range(3))])
+
+
+def test_posts_in_named_parts_are_tried_again():
+    words = "One sentence, and then another one, long enough to count as text of the page itself."
+    parts = "".join(f'<div class="widget"><p>{i} {words}</p><p>{words}</p></div>' for i in range(3))
+    assert main_text(f"<body><div>{parts}</div><p>Bye.</p></body>").count(words) == 6
+    assert main_text(f'<body><div class="comments"><p>{words}</p></div></body>') == words
+
+
 def test_extract_keeps_every_page(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in extract(pages(spark, [(1, "u", "<p>é\U0001f600</p>"), (2, "u", None), (None, None, "<p>x")]), ["page_id", "url"]).collect()}
     assert got == {1: ("é\U0001f600", 2), 2: ("", 0), None: ("x", 1)}
