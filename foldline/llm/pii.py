@@ -3,8 +3,8 @@
 The field's nodes are a document's words that hold a digit or an ``@``; all others are
 outside any entity.  A word that a base match covers is observed with that label.  The
 others have a unary potential by shape (number of digits, signs), learned from how often
-words of that shape are covered, and never above that of the label "outside": shape alone
-adds nothing.  Words that stand side by side share a chain potential, learned from the
+words of that shape are covered, never above that of the label "outside" (shape alone
+adds nothing) and never below RARE (decisions do not depend on the number of documents).  Words that stand side by side share a chain potential, learned from the
 labels of neighbours.  Distant words that are equal, or end in the same seven digits (alone or with
 the group beside them), or have the same local part before an ``@``, share a skip potential that favours equal labels.
 Each is linked with every such observed word: those are fixed, so their links are summed
@@ -46,6 +46,8 @@ _WHITE = re.compile(r"[\x20\x09-\x0D]")
 _NOT_DIGIT = re.compile("[^0-9]")
 _EDGE = " .,;:!?()[]<>{}\"'"
 LABELS = len(KINDS) + 1  # the last one is "outside"
+#: The unary potential of a shape that was never covered, however often it was seen.
+RARE = -2.0
 
 
 def luhn(digits: str) -> bool:
@@ -143,14 +145,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([y for _, y in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["what", "label", "n"])
 
 
-def fit(documents: DataFrame, rows: int = 20_000, text_col: str = "text", id_col: str = "doc_id", skip: float = 5.0, accept: float = 0.8, rounds: int = 12) -> dict:
-    """Potentials from base matches in about ``rows`` documents (all if fewer), those of
-    least hash of id.  Shapes are a bounded set; only their counts reach the driver."""
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    share = rows / max(documents.count(), 1)
-    if share < 1:
-        docs = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    got = docs.select("text").mapInArrow(_counts, "what string, label int, n long").groupBy("what", "label").agg(F.sum("n").alias("n")).collect()
+def fit(documents: DataFrame, text_col: str = "text", skip: float = 5.0, accept: float = 0.8, rounds: int = 12) -> dict:
+    """Potentials from base matches in all documents.  Shapes are a bounded set; only their
+    counts reach the driver."""
+    docs = documents.select(F.col(text_col).cast("string").alias("text"))
+    got = docs.mapInArrow(_counts, "what string, label int, n long").groupBy("what", "label").agg(F.sum("n").alias("n")).collect()
     unary: dict[str, np.ndarray] = {}
     chain = np.ones((LABELS, LABELS)) + np.eye(LABELS)
     for what, y, n in got:
@@ -161,7 +160,7 @@ def fit(documents: DataFrame, rows: int = 20_000, text_col: str = "text", id_col
     logs = {}
     for s, n in unary.items():
         u = np.log(n / n.sum())
-        logs[s] = np.minimum(u - u[-1], -1.0)
+        logs[s] = np.clip(u - u[-1], RARE, -1.0)
         logs[s][-1] = 0.0
     pair = np.log(chain / np.sqrt(np.outer(chain.sum(axis=1), chain.sum(axis=0))))
     return {"unary": logs, "chain": np.clip(pair - pair.mean(), -3, 3), "skip": skip * np.eye(LABELS), "accept": accept, "rounds": rounds}
@@ -252,7 +251,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: dict) -> lis
     label = observed(ws, base)
     if (label >= 0).all():
         return []
-    rare = np.array([-2.0] * (LABELS - 1) + [0.0])
+    rare = np.array([RARE] * (LABELS - 1) + [0.0])
     unary = np.stack([model["unary"].get(shape(text[a:b]), rare) for a, b in ws])
     seen = np.flatnonzero(label >= 0)
     unary[seen] = -20.0

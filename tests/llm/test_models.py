@@ -140,6 +140,15 @@ def test_field_adds_every_mention_of_an_observed_entity(n, last):
         assert [(k, text[a:b]) for a, k, b in added] == [(kind, short)] * n
 
 
+def test_fit_counts_all_documents_and_decides_alike_at_every_size(spark):
+    text = "Mail bob.smith@example.com today. Write to bob.smith@host again."
+    for n in (0, 10, 25_000):
+        docs = spark.range(n).selectExpr("concat('see any@host ', id, ' there') as text").union(spark.createDataFrame([("one +44 20 7946 0958 phone",)], "text string"))
+        model = pii.fit(docs)
+        assert pii.shape("+44") in model["unary"]
+        assert [text[a:b] for a, _, b in pii.added_spans(text, pii.base_spans(text), model)] == ["bob.smith@host"]
+
+
 def test_links_with_observed_words_count_each_pair_once():
     rng = np.random.default_rng(5)
     bits = ["bob@a.b", "bob@host", "4412345", "1234567", "123", "4567", "99-1234567", "x1234567", "bob@a1234567"]
