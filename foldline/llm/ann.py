@@ -13,9 +13,12 @@ All queries meet all vectors, in blocks: vectors are dealt to blocks by hash of
 likewise, and each pair of a vector block and a query block is one bounded group.  A block
 returns k rows for each of its queries.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components take
-no part, neither do rows without an id.  Only vectors of equal dimension meet.  A row never
-finds rows of its own id.  Equal cosines are ordered by smaller id.
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components
+take no part, neither do rows without an id.  Only vectors of equal dimension meet.  A row
+never finds rows of its own id.  Rows that repeat an id are one neighbour and one query: equal
+rows count once (before vectors are dealt to blocks, so a hot id is one row), and of different
+vectors of one id the nearest counts.  Equal cosines are ordered by smaller id.  An empty
+table gives an empty result.  Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -89,6 +92,14 @@ def _index(bits: int, seed: int):
     return run
 
 
+def _best(ids: np.ndarray, score: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n ids of best score, each once with its best."""
+    order = np.lexsort((ids, -score))
+    _, first = np.unique(ids[order], return_index=True)
+    order = order[np.sort(first)[:n]]
+    return ids[order], score[order]
+
+
 SHAPE = "query_id long, vec_id long, score double"
 
 
@@ -106,24 +117,27 @@ def _block(bits: int, seed: int, k: int, epsilon: float):
             planes = Planes(q / qnorm[:, None], embedding(x.shape[1], bits, seed))
             ones = np.bitwise_count(code).sum(axis=1).astype(np.int64)
             error = epsilon * np.sqrt(np.maximum(1 - f * f, 0) / (f * f) / (planes.size - 1))
+            new = np.append(True, ids[1:] != ids[:-1])  # equal ids stand together
+            of_query: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
             for i, qid in enumerate(queries.column("q_vec_id").to_pylist()):
                 est = planes.estimate(i, code, ones) / f
                 upper = est + error + 3 * planes.step[i] / np.sqrt(12) / f
                 other = ids != qid
                 upper[~other] = -np.inf
-                n = min(k, int(other.sum()))
+                n = min(k, int((new & other).sum()))
                 if not n:
                     continue
                 lead = min(len(ids), max(8 * k, 64))
                 first = np.argpartition(-upper, lead - 1)[:lead]
                 first = first[other[first]]
-                bar = np.sort((x[first] * q[i]).sum(axis=1) / (norm[first] * qnorm[i]))[-n]
-                pick = np.flatnonzero((upper >= bar - 1e-12) & other)
-                exact = (x[pick] * q[i]).sum(axis=1) / (norm[pick] * qnorm[i])
-                best = np.lexsort((ids[pick], -exact))[:n]
-                out_q += [qid] * len(best)
-                out_v += ids[pick[best]].tolist()
-                out_s += exact[best].tolist()
+                top = _best(ids[first], (x[first] * q[i]).sum(axis=1) / (norm[first] * qnorm[i]), n)[1]
+                pick = np.flatnonzero((upper >= (top[-1] if len(top) == n else -np.inf) - 1e-12) & other)
+                of_query.setdefault(qid, []).append(_best(ids[pick], (x[pick] * q[i]).sum(axis=1) / (norm[pick] * qnorm[i]), n))
+            for qid, found in of_query.items():
+                v, score = found[0] if len(found) == 1 else _best(*map(np.concatenate, zip(*found, strict=True)), k)
+                out_q += [qid] * len(v)
+                out_v += v.tolist()
+                out_s += score.tolist()
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
     return run
@@ -132,10 +146,11 @@ def _block(bits: int, seed: int, k: int, epsilon: float):
 def nearest(vectors: DataFrame, is_query, k: int = 5, bits: int = 256, seed: int = 11, epsilon: float = 3.0, vector_block: int = 16384, query_block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query row's k nearest found.
     is_query: a condition on the column vec_id."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    usable = F.expr("vec_id is not null and vector is not null and size(vector) > 0 and forall(vector, v -> v is not null and not isnan(v) and abs(v) < double('infinity')) and exists(vector, v -> v <> 0)")
-    rows = rows.filter(usable).withColumn("dim", F.size("vector"))
-    index = rows.mapInArrow(_index(bits, seed), "vec_id long, dim int, vector array<double>, code binary, f double")
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"))
+    usable = F.expr("vec_id is not null and vector is not null and size(vector) > 0 and forall(vector, v -> v is not null and not isnan(v) and abs(double(v)) < double('infinity')) and exists(vector, v -> v <> 0)")
+    rows = rows.filter(usable).distinct().withColumn("dim", F.size("vector"))
+    index = rows.mapInArrow(_index(bits, seed), f"vec_id long, dim int, vector {kind}, code binary, f double")
     size = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"))
     size = size.select("dim", F.ceil(F.col("n") / vector_block).cast("int").alias("nv"), F.greatest(F.lit(1), F.ceil(F.col("q") / query_block)).cast("int").alias("nq"))
     index = index.join(size, "dim")
