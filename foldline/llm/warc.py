@@ -7,14 +7,18 @@ addressed by bundle, frame and offset in that frame; the index is a table of the
 
 Payloads that occur more than once are kept in one response record, that of the largest
 id; the others are revisit records that name it.  Digests meet by shuffle, with map-side
-aggregation, so a hot payload costs one row for each task.
+aggregation, so a hot payload costs one row for each task.  The digests that occur again are
+written as a table, so that Spark can split the join that brings copies to them.
 
 Tasks write through the file system that the folder's URI names.  A bundle is written under
 the name of its task attempt and then renamed to a name that is the same for all attempts;
 only bundles in the written manifest count.
 
-Defined results: a null payload is empty.  Rows without an id are not written.  Rows that
-repeat an id are records of their own.  Empty input gives no bundle and an empty result.
+Defined results: a null payload is empty.  Every row is a record of its own, also rows that
+repeat an id: among equal payloads all rows of the largest id are responses.  A row without
+an id is a record that is named by its payload's digest; it is a revisit if an equal payload
+has an id, and a response if none has.  A null address is ``about:blank``.  Empty input gives
+no bundle and an empty result.  Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,12 +48,16 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()  # noqa: S324  the format's digest
 
 
-def record(page_id: int, url: str | None, payload: bytes, sha: str, refers_to: int | None) -> bytes:
+def urn(page_id: int | None, sha: str) -> str:
+    return f"urn:page:{page_id}" if page_id is not None else f"urn:sha1:{sha}"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record.  A revisit has no payload but says how long it is."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{urn(page_id, sha)}>", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {' '.join((url or 'about:blank').split())}", f"WARC-Payload-Digest: sha1:{sha}", f"WARC-Block-Digest: sha1:{digest(block)}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
@@ -152,9 +160,10 @@ def _write(folder: str, frame_bytes: int, bundle_bytes: int):
                     state["name"] = f"part-{part:05d}-{state['n']:04d}.warc.zst"
                     state["out"] = fs.open_output_stream(f"{root}/{state['name']}.{attempt}.tmp")
                     state["writer"] = BundleWriter(state["out"], frame_bytes)
+                sha = base64.b32encode(bytes.fromhex(sha)).decode()
                 data = record(page_id, url, (html or "").encode(), sha, refers)
                 frame, offset = state["writer"].add(data)
-                state["rows"].append((state["name"], frame, offset, len(data), f"urn:page:{page_id}"))
+                state["rows"].append((state["name"], frame, offset, len(data), urn(page_id, sha)))
                 if state["writer"].written >= bundle_bytes:
                     yield finish()
         if state["writer"] is not None:
@@ -163,22 +172,14 @@ def _write(folder: str, frame_bytes: int, bundle_bytes: int):
     return run
 
 
-def _base32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield b.append_column("sha", pa.array([digest((x or "").encode()) for x in b.column("html").to_pylist()], pa.string()))
-
-
 def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = 1 << 20, bundle_bytes: int = 256 << 20, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", dedup_from: int = 0) -> DataFrame:
     """Write all rows under ``folder``; returns the index: bundle, frame, offset, size,
     record_id.  Equal payloads of at least ``dedup_from`` bytes are kept once."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("html")).filter("page_id is not null")
-    shape = "page_id long, url string, html string, sha string"
-    rows = rows.mapInArrow(_base32, shape)
-    size = F.octet_length(F.coalesce("html", F.lit("")))
-    holder = rows.select("sha", "page_id", size.alias("n")).filter(F.col("n") >= dedup_from).groupBy("sha", "n").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("copies"))
-    holder = holder.filter("copies > 1").select("sha", "n", "holder")
-    rows = rows.withColumn("n", size).join(holder, ["sha", "n"], "left")
-    rows = rows.select("page_id", "url", "html", "sha", F.when(F.col("holder") != F.col("page_id"), F.col("holder")).alias("refers_to"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
+    rows = rows.withColumns({"sha": F.sha1(F.encode("html", "UTF-8")), "n": F.octet_length("html")})
+    again = rows.select("sha", "page_id", "n").filter(F.col("n") >= dedup_from).groupBy("sha", "n").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("copies"))
+    again = table(again.filter("copies > 1 and holder is not null").select("sha", "n", "holder"), "payloads")
+    rows = rows.join(again, ["sha", "n"], "left").select("page_id", "url", "html", "sha", F.when(~F.col("holder").eqNullSafe(F.col("page_id")), F.col("holder")).alias("refers_to"))
     return table(rows.mapInArrow(_write(folder, frame_bytes, bundle_bytes), MANIFEST), "warc-index")
 
 
@@ -205,7 +206,7 @@ def _read(folder: str):
                 if header["WARC-Type"] == "response" and (len(payload) != told or digest(payload) != sha):
                     raise ValueError(f"{name}: {rid} is damaged")
                 refers = header.get("WARC-Refers-To")
-                out.append((int(rid.rpartition(":")[2]), header["WARC-Target-URI"], told, sha, header["WARC-Type"], refers and int(refers[1:-1].rpartition(":")[2])))
+                out.append((int(rid.rpartition(":")[2]) if rid.startswith("urn:page:") else None, header["WARC-Target-URI"], told, sha, header["WARC-Type"], refers and int(refers[1:-1].rpartition(":")[2])))
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
