@@ -8,11 +8,15 @@ words.  Probabilities are fitted by expectation maximisation over all segmentati
 (forward and backward) of a bounded sample of labelled rows.
 
 The lattice of all distinct words of a chunk of texts is built at once and the recurrence
-runs over word offsets, so the work for a word is paid once for each chunk.  A run of more
-than ``LONGEST`` letters is cut every ``LONGEST`` letters; no segmentation crosses a cut.
+runs over word offsets, so the work for a word is paid once for each chunk; a task remembers
+the sums of up to ``KNOWN`` words.  Words of up to ``SHORT`` letters are summed as they are
+(each letter's share is scaled, and no such product leaves a double's range), longer ones in
+logarithms, so a word of any length counts whole and tells languages apart.
 
 Defined results: ``und`` with score 0 for null, empty and letterless texts, and for all if
-there are no labelled rows.  Ties go to the language that sorts first.
+there are no labelled rows.  Ties go to the language that sorts first.  Rows that repeat an id
+are judged one by one.  An empty table gives an empty result.  Columns besides the text and
+the named keys are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +36,10 @@ from foldline.llm.shared import table
 
 U = np.uint64
 MARK = 0x2581
-LONGEST = 200
+#: Letters of a word whose sum stays within a double's range, and words that a task remembers.
+SHORT, KNOWN = 30, 400_000
 _BASE = U(0x9E3779B97F4A7C15)
-_GAIN = 2.0  # each letter's share is scaled by e**_GAIN, so long words do not underflow
+_GAIN = 2.0  # each letter's share is scaled by e**_GAIN
 
 
 def vocabulary_path() -> str:
@@ -134,6 +139,31 @@ class Lattice:
         self.first, self.last = start + np.arange(len(start)), self.end + np.arange(len(start))
         self.nodes = n + len(start)
 
+    def _log_sweep(self, value: np.ndarray, into: np.ndarray, out_of: np.ndarray, off: np.ndarray, log_weight: np.ndarray, steps) -> None:
+        order = np.lexsort((into, off))
+        bound = np.searchsorted(off[order], np.arange(off.max() + 2))
+        for t in steps(int(off.max())):
+            e = order[bound[t] : bound[t + 1]]
+            if len(e):
+                node = into[e]
+                new = np.append(True, node[1:] != node[:-1])
+                at = np.flatnonzero(new)
+                x = value[out_of[e]] + log_weight[e]
+                most = np.maximum.reduceat(x, at, axis=0)
+                value[node[at]] = most + np.log(np.add.reduceat(np.exp(x - most[np.cumsum(new) - 1]), at, axis=0))
+
+    def log_forward(self, log_weight: np.ndarray) -> np.ndarray:
+        v = np.full((self.nodes, log_weight.shape[1]), -np.inf)
+        v[self.first] = 0
+        self._log_sweep(v, self.node_b, self.node_a, self.off_b, log_weight, lambda top: range(1, top + 1))
+        return v
+
+    def log_backward(self, log_weight: np.ndarray) -> np.ndarray:
+        v = np.full((self.nodes, log_weight.shape[1]), -np.inf)
+        v[self.last] = 0
+        self._log_sweep(v, self.node_a, self.node_b, self.off_a, log_weight, lambda top: range(top, -1, -1))
+        return v
+
     def _sweep(self, value: np.ndarray, into: np.ndarray, out_of: np.ndarray, off: np.ndarray, weight: np.ndarray, steps) -> None:
         order = np.lexsort((into, off))
         bound = np.searchsorted(off[order], np.arange(off.max() + 2))
@@ -159,10 +189,19 @@ class Lattice:
     def weights(self, prob: np.ndarray) -> np.ndarray:
         return prob[self.p] * np.exp(_GAIN * self.m)[:, None]
 
+    def log_weights(self, prob: np.ndarray) -> np.ndarray:
+        return np.log(prob)[self.p]
+
+    def log_sums(self, prob: np.ndarray, short: bool) -> np.ndarray:
+        """The logarithm of each word's probability."""
+        if short:
+            return np.log(self.forward(self.weights(prob))[self.last]) - _GAIN * (self.end - self.start)[:, None]
+        return self.log_forward(self.log_weights(prob))[self.last]
 
-def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row and number (among the distinct words) of each word; the distinct words' code
-    points, marks included, and where each begins."""
+    points, marks included, where each begins, and their hashes."""
     data, _ = tx.string_buffers(col)
     cps = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lengths = pc.utf8_length(col.fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -178,15 +217,11 @@ def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     end = stop[np.searchsorted(stop, start)] if len(start) else start
     if len(start):
         end = np.minimum(end, np.append(start[1:], len(cps)))
-        if (end - start).max() > LONGEST:
-            cuts = [np.arange(s, e, LONGEST) for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-            ends = [np.append(c[1:], e) for c, e in zip(cuts, end.tolist(), strict=True)]
-            start, end = np.concatenate(cuts), np.concatenate(ends)
     row = np.searchsorted(off, start, side="right") - 1
     total = np.zeros(len(cps) + 1, U)
     np.cumsum(tx.mix(low.astype(U)) * tx.powers(tx._MULT_INV, len(cps)), out=total[1:])
     h = tx.mix((total[end] - total[start]) * tx.powers(tx._MULT, len(cps) + 1)[end]) if len(start) else total[:0]
-    _, where, number = np.unique(h, return_index=True, return_inverse=True)
+    hashes, where, number = np.unique(h, return_index=True, return_inverse=True)
     s, size = start[where], (end - start)[where] + 1
     begin = np.append(0, np.cumsum(size))
     out = np.full(begin[-1], MARK, np.uint32)
@@ -194,32 +229,47 @@ def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     inner[begin[:-1]] = False
     pick = np.repeat(s - begin[:-1] - 1, size) + np.arange(len(out))
     out[inner] = low[pick[inner]]
-    return row, number, out, begin[:-1]
-
-
-def _groups(cps: np.ndarray, start: np.ndarray, most: int = 40_000) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
-    for i in range(0, len(start), most):
-        j = min(i + most, len(start))
-        a, b = start[i], start[j] if j < len(start) else len(cps)
-        yield cps[a:b], start[i:j] - a, slice(i, j)
+    return row, number, out, begin[:-1], hashes
+
+
+def _groups(cps: np.ndarray, start: np.ndarray, wanted: np.ndarray | None = None, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """The wanted words in groups of about ``most`` letters (one word at least): their code
+    points, where each begins, their numbers, and whether they are short."""
+    size = np.diff(np.append(start, len(cps)))
+    for short in (True, False):
+        of_kind = np.flatnonzero((size <= SHORT + 1) == short)
+        if wanted is not None:
+            of_kind = of_kind[wanted[of_kind]]
+        total, i = np.cumsum(size[of_kind]), 0
+        while i < len(of_kind):
+            j = max(i + 1, int(np.searchsorted(total, total[i] + most)))
+            part = of_kind[i:j]
+            begin = np.append(0, np.cumsum(size[part]))
+            yield cps[np.repeat(start[part] - begin[:-1], size[part]) + np.arange(begin[-1])], begin[:-1], part, short
+            i = j
 
 
 def _expect(names: list[str], langs: list[str], prob: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, total = Pieces(names), np.zeros(prob.shape)
         for b in tx.chunked(batches, "text"):
-            row, number, cps, start = _words(b.column("text"))
+            row, number, cps, start, _ = _words(b.column("text"))
             if not len(row):
                 continue
             lang = np.array([langs.index(x) for x in b.column("lang").to_pylist()])
             count = np.zeros((len(start), len(langs)))
             np.add.at(count, (number, lang[row]), 1)
-            for c, s, part in _groups(cps, start):
+            for c, s, part, short in _groups(cps, start):
                 lat = Lattice(c, s, vocab)
-                w = lat.weights(prob)
-                f, back = lat.forward(w), lat.backward(w)
-                scale = count[part] / np.maximum(f[lat.last], 1e-300)
-                share = f[lat.node_a] * w * back[lat.node_b] * scale[lat.word[lat.a]]
+                times = count[part][lat.word[lat.a]]
+                if short:
+                    w = lat.weights(prob)
+                    f, back = lat.forward(w), lat.backward(w)
+                    share = f[lat.node_a] * w * back[lat.node_b] / f[lat.last][lat.word[lat.a]] * times
+                else:
+                    w = lat.log_weights(prob)
+                    f, back = lat.log_forward(w), lat.log_backward(w)
+                    share = np.exp(f[lat.node_a] + w + back[lat.node_b] - f[lat.last][lat.word[lat.a]]) * times
                 for j in range(len(langs)):
                     total[:, j] += np.bincount(lat.p, weights=share[:, j], minlength=vocab.size)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
@@ -246,31 +296,56 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     return {"pieces": names, "langs": langs, "prob": prob.astype(np.float32)}
 
 
-def classify(col: pa.Array, model: dict, vocab: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the number of its language (that of ``und`` is the last) and the score."""
-    n, prob = len(col), model["prob"].astype(np.float64)
-    row, number, cps, start = _words(col)
-    best, score = np.full(n, prob.shape[1]), np.zeros(n)
-    if len(row) and prob.shape[1]:
-        log = np.zeros((len(start), prob.shape[1]))
-        for c, s, part in _groups(cps, start):
-            lat = Lattice(c, s, vocab)
-            log[part] = np.log(np.maximum(lat.forward(lat.weights(prob))[lat.last], 1e-300)) - _GAIN * (lat.end - lat.start)[:, None]
-        total = np.stack([np.bincount(row, weights=log[number, j], minlength=n) for j in range(log.shape[1])], axis=1)
-        some = np.bincount(row, minlength=n) > 0
-        share = np.exp(total - total.max(axis=1, keepdims=True))
-        best = np.where(some, total.argmax(axis=1), best)
-        score = np.where(some, share.max(axis=1) / share.sum(axis=1), 0.0)
-    return best, score
+class Classifier:
+    """A model's vocabulary, and the words that it has met with the logarithm of their
+    probability in each language."""
+
+    def __init__(self, model: dict):
+        self.vocab, self.prob = Pieces(model["pieces"]), model["prob"].astype(np.float64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.logs = np.zeros(0, U), np.zeros((0, self.prob.shape[1]))
+
+    def words(self, cps: np.ndarray, start: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The logarithms of distinct words (hashes in ascending order)."""
+        log = np.empty((len(hashes), self.prob.shape[1]))
+        at = np.searchsorted(self.known, hashes)
+        old = at < len(self.known)
+        old[old] = self.known[at[old]] == hashes[old]
+        log[old] = self.logs[at[old]]
+        for c, s, part, short in _groups(cps, start, ~old):
+            log[part] = Lattice(c, s, self.vocab).log_sums(self.prob, short)
+        new = ~old
+        if len(self.known) + new.sum() > KNOWN:
+            self.forget()
+            at, new = np.zeros_like(at), np.ones_like(new)
+        if new.sum() <= KNOWN:
+            self.known, self.logs = np.insert(self.known, at[new], hashes[new]), np.insert(self.logs, at[new], log[new], axis=0)
+        return log
+
+    def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the number of its language (that of ``und`` is the last) and the score."""
+        n, langs = len(col), self.prob.shape[1]
+        row, number, cps, start, hashes = _words(col)
+        best, score = np.full(n, langs), np.zeros(n)
+        if len(row) and langs:
+            log = self.words(cps, start, hashes)
+            total = np.stack([np.bincount(row, weights=log[number, j], minlength=n) for j in range(langs)], axis=1)
+            some = np.bincount(row, minlength=n) > 0
+            share = np.exp(total - total.max(axis=1, keepdims=True))
+            best = np.where(some, total.argmax(axis=1), best)
+            score = np.where(some, share.max(axis=1) / share.sum(axis=1), 0.0)
+        return best, score
 
 
 def _predict(model: dict):
     langs = pa.array([*model["langs"], "und"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Pieces(model["pieces"])
+        classify = Classifier(model)
         for b in tx.chunked(batches, "text"):
-            best, score = classify(b.column("text"), model, vocab)
+            best, score = classify(b.column("text"))
             keep = [b.column(i) for i, f in enumerate(b.schema) if f.name != "text"]
             yield pa.RecordBatch.from_arrays([*keep, langs.take(pa.array(best)), pa.array(score)], names=[*(f.name for f in b.schema if f.name != "text"), "lang_pred", "score"])
 
@@ -281,9 +356,9 @@ def _identified(model: dict, text_col: str, lang_col: str, least: float):
     langs = pa.array([*model["langs"], "und"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Pieces(model["pieces"])
+        classify = Classifier(model)
         for b in tx.chunked(batches, text_col):
-            best, score = classify(b.column(b.schema.get_field_index(text_col)), model, vocab)
+            best, score = classify(b.column(b.schema.get_field_index(text_col)))
             at = b.schema.get_field_index(lang_col)
             b = b.set_column(at, b.schema.field(at), langs.take(pa.array(best)).cast(b.schema.field(at).type))
             yield b.filter(pa.array((best < len(langs) - 1) & (score >= least)))
@@ -292,7 +367,9 @@ def _identified(model: dict, text_col: str, lang_col: str, least: float):
 
 
 def keep_identified(documents: DataFrame, model: dict, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows with a language of score ``least`` or more, all columns; lang is the one found."""
+    """The rows with a language of score ``least`` or more, all columns; lang is the one found.
+    Rejected are texts without a letter, and those of which no language has a posterior of
+    ``least`` (by default more likely than all the others together)."""
     return documents.mapInArrow(_identified(model, text_col, lang_col, least), documents.schema)
 
 
