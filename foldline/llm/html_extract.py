@@ -1,27 +1,37 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree (void elements, omitted end tags of the block elements, raw text of
-scripts and styles, comments).  Each paragraph gives 1 point, 1 for each comma and 1 for
-each 100 characters up to 3, to its parent and half of that to its grandparent.  Blocks of
-navigation, forms, adverts, notices, comments and the like are taken out first, by element
-and by class or id (whole names; not where one holds most of the page's text, and not at
-all where that leaves little; comments only go back in if nothing else is left).  A container's points are discounted by its link density.  The best
-container is kept, with those of its siblings that score a fifth as well or are
-paragraphs of their own weight; inside, lists and boxes that are mostly links are dropped.
-A page that marks its article (one ``article`` or ``main`` element with most of the
-points) has that as its container.
+scripts and styles, comments).  Elements that never hold an article's text (navigation, forms,
+scripts and the like, hidden ones) are taken out.  Each paragraph gives 1 point, 1 for each
+comma and 1 for each 100 characters up to 3, to its parent and half of that to its
+grandparent.  What lies in a box whose class or id names an advert, a notice, a side bar,
+comments and the like (whole names) counts LIGHT only, unless the box holds most of the
+page's text.  A container's points are discounted by its link density.  The best container (of equals the
+first) is kept, with those of its siblings that score a fifth as well or are paragraphs of their own
+weight; inside, light boxes and lists and boxes that are mostly links are dropped.  Where that
+leaves little, names count for nothing but comments, and then not at all.  A page that marks
+its article (one ``article`` or ``main`` element with most of the points) has that as its
+container.
 
 Text is joined by block: character references decoded, white space in a block turned into
 one space, blocks joined by one space.
 
+The parser looks at each character a bounded number of times: what a tag closes is found from
+the places of open elements by name, not by walking up, and a search that once met the page's
+end is not made again.  So broken and very long pages take time in proportion to their length.
+
 Defined results: null and empty pages, and pages without text outside what is dropped,
-give the empty string.
+give the empty string.  A tag that never ends is text, so is a ``<`` that begins none.  A quote
+that is never closed does not hide the tag's end.  Rows that repeat a page are extracted
+each; an empty table gives an empty result.  Columns besides the page and the named keys are
+not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,21 +62,28 @@ _BEFORE, _AFTER = r"site|page|post|entry|article|main|global|primary|secondary|l
 #: A class or id of such words only, with their places or forms and a number ("cookie-banner",
 #: "site-nav", "ad-1"); "has-sidebar" or "tag-python" say something about other things.
 UNLIKELY, COMMENTS = (re.compile(rf"(?:(?:{_BEFORE})[_-])?(?:{words})(?:[_-](?:{_COMMENTS}|{_OTHERS}|{_AFTER}))*[_-]?\d*", re.I) for words in (_OTHERS, _COMMENTS))
-#: Without an article or main element elsewhere, one named so is kept all the same if it holds
+#: What a paragraph's points count inside a box named so.
+LIGHT = 0.02
+#: Without an article or main element elsewhere, a box named so counts in full all the same if it holds
 #: more than MOST of the page's text outside links and comments; a result of less than LEAST of it is tried again.
 MOST, LEAST = 0.5, 0.25
 UNLIKELY_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar form".split())
-_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
-_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
-_ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: Up to a tag's end or to a quoted value in it.
+_INNER = re.compile(r"[^>=]*+(?:>|=\s*+[\"']?)")
+_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
+_ATTR = re.compile(r"""(?<![^\s/"'>])([^\s=/>"']++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""")
+#: An end tag of an element that is no block does not reach beyond these.
+LIMITS = frozenset("p li td div article section".split())
 
 
 class Node:
-    __slots__ = ("name", "parent", "kids", "points", "attrs", "chars", "linked", "commas", "own_chars", "own_commas")
+    __slots__ = ("name", "parent", "kids", "points", "attrs", "weight", "chars", "linked", "commas", "own_chars", "own_commas")
 
     def __init__(self, name: str, parent: Node | None, attrs: dict[str, str]):
         self.name, self.parent, self.attrs = name, parent, attrs
         self.kids: list[Node | str] = []
+        self.weight = 1.0
         self.points, self.chars, self.linked, self.commas, self.own_chars, self.own_commas = 0.0, 0, 0, 0, 0, 0
 
 
@@ -74,65 +91,127 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)} if "=" in text else {}
 
 
+class _Open:
+    """The open elements, outermost first, and their depths by name, of blocks and of LIMITS."""
+
+    def __init__(self):
+        self.stack, self.by, self.blocks, self.limits = [Node("#root", None, {})], {}, [0], [0]
+
+    def push(self, n: Node) -> None:
+        depth = len(self.stack)
+        self.stack.append(n)
+        self.by.setdefault(n.name, []).append(depth)
+        if n.name in BLOCK:
+            self.blocks.append(depth)
+        if n.name in LIMITS:
+            self.limits.append(depth)
+
+    def cut(self, depth: int) -> None:
+        """Ends the element of that depth and all inside it."""
+        while len(self.stack) > depth:
+            self.by[self.stack.pop().name].pop()
+        for places in (self.blocks, self.limits):
+            while places[-1] >= depth:
+                places.pop()
+
+    def end_tag(self, name: str) -> None:
+        places = self.by.get(name)
+        if places and (name in BLOCK or places[-1] > self.limits[-1]):
+            self.cut(places[-1])
+
+    def start_tag(self, name: str) -> None:
+        """Ends what the element's start tag ends."""
+        if name in CLOSES_P:
+            if self.stack[self.blocks[-1]].name == "p":
+                self.cut(self.blocks[-1])
+        elif name in ENDS:
+            ended, within = ENDS[name]
+            floor = max((self.by[x][-1] for x in within if self.by.get(x)), default=0)
+            found = [places[i] for x in ended if (places := self.by.get(x)) and (i := bisect_right(places, floor)) < len(places)]
+            if found:
+                self.cut(min(found))
+
+
+class _Tags:
+    """Finds tags from left to right."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.unquoted, self.endless = page, page.rfind(">"), False, set()
+
+    def close(self, at: int) -> int:
+        """Where a tag ends (its ``>``) whose name ends at ``at``; quoted values are passed over
+        as long as all quotes on the way are closed."""
+        page, i = self.page, at
+        while not self.unquoted:
+            m = _INNER.match(page, i)
+            if m is None:
+                self.unquoted = True
+            elif m[0][-1] == ">":
+                return m.end() - 1
+            elif m[0][-1] in "\"'":
+                i = page.find(m[0][-1], m.end()) + 1
+                self.unquoted = not i
+            else:
+                i = m.end()
+        return page.find(">", at)
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Where the raw text of an element that begins at ``at`` ends, -1 if it does not."""
+        m = None if name in self.endless else _END[name].search(self.page, at)
+        if m is None:
+            self.endless.add(name)
+            return -1
+        return m.end()
+
+
 def parse(page: str) -> Node:
     """The page's tree; names in lower case, text as it stands."""
-    root = node = Node("#root", None, {})
-    at = 0
-    while True:
-        m = _TAG.search(page, at)
+    tags, open_ = _Tags(page), _Open()
+    done = at = 0
+    while (begin := page.find("<", at)) >= 0:
+        m = None
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4) + 3
+            end = end if end > 2 else len(page)
+        elif begin > tags.last:
+            at = begin + 1
+            continue
+        elif page[begin + 1] in "!?":
+            end = page.find(">", begin) + 1
+        elif m := _NAME.match(page, begin + 1):
+            end = tags.close(m.end()) + 1
+        else:
+            at = begin + 1
+            continue
+        if begin > done:
+            open_.stack[-1].kids.append(page[done:begin])
+        done = at = end
         if m is None:
-            if page[at:]:
-                node.kids.append(page[at:])
-            return root
-        if m.start() > at:
-            node.kids.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
             continue
-        name = m[2].lower()
-        if m[1]:
-            up = node
-            while up.parent is not None and up.name != name and not (name not in BLOCK and up.name in ("p", "li", "td", "div", "article", "section")):
-                up = up.parent
-            if up.name == name:
-                node = up.parent
+        name, inner = m[0].lower(), page[m.end() : end - 1]
+        if name[0] == "/":
+            open_.end_tag(name[1:])
             continue
-        if name in CLOSES_P:
-            up = node
-            while up.parent is not None and up.name not in BLOCK:
-                up = up.parent
-            if up.name == "p":
-                node = up.parent
-        elif name in ENDS:
-            ended, within = ENDS[name]
-            up, last = node, None
-            while up.parent is not None and up.name not in within:
-                if up.name in ended:
-                    last = up
-                up = up.parent
-            if last is not None:
-                node = last.parent
-        new = Node(name, node, _attributes(m[3]))
-        node.kids.append(new)
+        open_.start_tag(name)
+        new = Node(name, open_.stack[-1], _attributes(inner))
+        new.parent.kids.append(new)
         if name in RAW:
-            end = _END[name].search(page, at)
-            at = end.end() if end else (at if m[3].endswith("/") else len(page))
-        elif name not in VOID and not m[3].endswith("/"):
-            node = new
-    return root
+            stop = tags.raw_end(name, end)
+            done = at = stop if stop >= 0 else end if inner.endswith("/") else len(page)
+        elif name not in VOID and not inner.endswith("/"):
+            open_.push(new)
+    if page[done:]:
+        open_.stack[-1].kids.append(page[done:])
+    return open_.stack[0]
 
 
-def _unlikely(n: Node) -> bool:
+def _unlikely(n: Node, in_article: bool) -> bool:
     if n.name in RAW or n.name in DROPPED or n.name in VOID and n.name != "br":
         return True
     if n.name in ("html", "body", "article", "main"):
         return False
-    if n.name == "header":  # of the article: kept for its headings
-        up = n.parent
-        while up is not None and up.name not in ("article", "main"):
-            up = up.parent
-        if up is None:
-            return True
+    if n.name == "header" and not in_article:  # an article's is kept for its headings
+        return True
     a = n.attrs
     return bool(a) and ("hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in UNLIKELY_ROLES or "display:none" in a.get("style", "").replace(" ", "").lower())
 
@@ -145,17 +224,18 @@ def _named(n: Node) -> str:
     return "comments" if any(map(COMMENTS.fullmatch, given)) else "unlikely" if any(map(UNLIKELY.fullmatch, given)) else ""
 
 
-def _walk(root: Node, cut: tuple[str, ...]) -> tuple[list[Node], float]:
-    """All elements that are kept, parents first (the others are cut off), and the characters
-    outside links and comments if any element was cut by what _named says and no article is
-    marked outside, else 0."""
-    out, stack = [], [root]
+def _walk(root: Node, light: tuple[str, ...]) -> tuple[list[Node], float]:
+    """All elements but the unlikely ones (these are cut off), in page order, with the weight
+    that their boxes' names give them; and the characters outside links and comments if any
+    weighs less and no article is marked outside, else 0."""
+    out, stack = [], [(root, False)]
     while stack:
-        n = stack.pop()
+        n, in_article = stack.pop()
         out.append(n)
-        n.kids = [k for k in n.kids if isinstance(k, str) or not _unlikely(k)]
-        stack += [k for k in n.kids if not isinstance(k, str)]
-    named = {id(n): what for n in out if (what := _named(n)) in cut and what}
+        in_article = in_article or n.name in ("article", "main")
+        n.kids = [k for k in n.kids if isinstance(k, str) or not _unlikely(k, in_article)]
+        stack += [(k, in_article) for k in reversed(n.kids) if not isinstance(k, str)]
+    named = {id(n): what for n in out if (what := _named(n)) in light and what}
     if not named:
         return out, 0
     size: dict[int, int] = {}
@@ -169,13 +249,13 @@ def _walk(root: Node, cut: tuple[str, ...]) -> tuple[list[Node], float]:
     # A page that marks its article elsewhere needs nothing of what is named.
     marked = any(n.name in ("article", "main") and id(n) not in inside and size[id(n)] for n in out)
     whole = 0 if marked else size[id(root)]
-    kept, stack = [], [root]
-    while stack:
-        n = stack.pop()
-        kept.append(n)
-        n.kids = [k for k in n.kids if isinstance(k, str) or id(k) not in named or whole and named[id(k)] == "unlikely" and size[id(k)] > whole * MOST]
-        stack += [k for k in n.kids if not isinstance(k, str)]
-    return kept, whole if len(kept) < len(out) else 0
+    some = False
+    for n in out:
+        n.weight = n.parent.weight if n.parent is not None else 1.0
+        if id(n) in named and not (whole and named[id(n)] == "unlikely" and size[id(n)] > whole * MOST):
+            n.weight *= LIGHT
+            some = True
+    return out, whole if some else 0
 
 
 def _blocks(n: Node) -> list[str]:
@@ -218,10 +298,10 @@ def main_text(page: str | None) -> str:
     return text or _scored(page, ())[0]
 
 
-def _scored(page: str, cut: tuple[str, ...]) -> tuple[str, float]:
-    """The best container's text after cutting elements of such names, and _walk's measure."""
+def _scored(page: str, light: tuple[str, ...]) -> tuple[str, float]:
+    """The best container's text if boxes of such names weigh little, and _walk's measure."""
     root = parse(page)
-    nodes, total = _walk(root, cut)
+    nodes, total = _walk(root, light)
     for n in reversed(nodes):
         for k in n.kids:
             if isinstance(k, str):
@@ -245,7 +325,7 @@ def _scored(page: str, cut: tuple[str, ...]) -> tuple[str, float]:
             chars, commas = (n.own_chars, n.own_commas) if box or n.name in ("td", "li", "blockquote") else (n.chars, n.commas)
             if not chars or box and chars < 25:
                 continue
-            points = (1 + commas + min(chars // 100, 3)) * (1 - _density(n))
+            points = (1 + commas + min(chars // 100, 3)) * (1 - _density(n)) * n.weight
             holder = n if box else n.parent
             for up, share in ((holder, 1.0), (holder.parent, 0.5)):
                 if up is not None:
@@ -253,9 +333,9 @@ def _scored(page: str, cut: tuple[str, ...]) -> tuple[str, float]:
                         scored.append(up)
                     up.points += points * share
     if not scored:
-        return " ".join(_blocks(root)), total
+        return " ".join(_blocks(_pruned(root, False))), total
     final = {id(n): n.points * (1 - _density(n)) for n in scored}
-    best = max(scored, key=lambda n: final[id(n)])
+    best = max((n for n in nodes if id(n) in final), key=lambda n: final[id(n)])
     marked = [n for n in nodes if n.name == "article"] or [n for n in nodes if n.name == "main"]
     if marked:
         whole = max(marked, key=lambda n: n.chars)
@@ -273,13 +353,17 @@ def _scored(page: str, cut: tuple[str, ...]) -> tuple[str, float]:
                 continue
             if k is best or final.get(id(k), 0.0) >= bar or k.name == "p" and k.chars > 80 and _density(k) < 0.25 or k.name in ("h1", "h2") and _density(k) < 0.25:
                 keep.append(k)
-    for top in keep:
-        stack = [top]
-        while stack:
-            n = stack.pop()
-            n.kids = [k for k in n.kids if isinstance(k, str) or not (k.name in ("ul", "ol", "div", "section", "table") and k.linked and _density(k) > 0.5)]
-            stack += [k for k in n.kids if not isinstance(k, str)]
-    return " ".join(t for k in keep for t in _blocks(k)), total
+    return " ".join(t for k in keep if k.weight >= best.weight for t in _blocks(_pruned(k, True))), total
+
+
+def _pruned(top: Node, links: bool) -> Node:
+    """top without the light boxes in it, nor (links) lists and boxes that are mostly links."""
+    stack = [top]
+    while stack:
+        n = stack.pop()
+        n.kids = [k for k in n.kids if isinstance(k, str) or not (k.weight < top.weight or links and k.name in ("ul", "ol", "div", "section", "table") and k.linked and _density(k) > 0.5)]
+        stack += [k for k in n.kids if not isinstance(k, str)]
+    return top
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
