@@ -14,11 +14,14 @@ message passing, damped, with a fixed number of rounds, gives each word's margin
 whose entity label has ``accept`` or more is added, and added neighbours of one label are
 one span.
 
-A document without a base match has no observed entity, so every label is "outside" there
-and no messages are sent.
+Labels follow evidence only: a word that no path of chain and skip potentials connects with
+an observed word is outside.  So a document without a base match has no entity, and no
+messages are sent there.
 
 Defined results: null and empty texts have no spans.  Offsets are code points, ends
-exclusive.  Added spans never overlap base ones.
+exclusive.  Added spans never overlap base ones.  Rows that repeat an id are judged one by
+one; an empty table gives an empty result.  Columns besides the text and the named keys are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -243,6 +246,21 @@ def marginals(unary: np.ndarray, edges: np.ndarray, potential: np.ndarray, round
     return b / b.sum(axis=1, keepdims=True)
 
 
+def _reached(n: int, edges: list[tuple[int, int]], begin: np.ndarray) -> np.ndarray:
+    """The words that edges connect with those to begin at."""
+    beside: list[list[int]] = [[] for _ in range(n)]
+    for a, b in edges:
+        beside[a].append(b)
+        beside[b].append(a)
+    out, stack = begin.copy(), np.flatnonzero(begin).tolist()
+    while stack:
+        for i in beside[stack.pop()]:
+            if not out[i]:
+                out[i] = True
+                stack.append(i)
+    return out
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], model: dict) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the spans that the field adds to the base ones."""
     if not base:
@@ -257,12 +275,13 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: dict) -> lis
     unary[seen] = -20.0
     unary[seen, label[seen]] = 0.0
     keys = _keys(text, ws)
-    unary = unary + _seen_links(keys, label) @ model["skip"]
+    linked = _seen_links(keys, label)
+    unary = unary + linked @ model["skip"]
     beside, links = _beside(text, ws), np.array(_links(keys, label), np.int64).reshape(-1, 2)
     edges = np.concatenate([np.column_stack([beside, beside + 1]), links])
     potential = np.concatenate([np.broadcast_to(model["chain"], (len(beside), LABELS, LABELS)), np.broadcast_to(model["skip"], (len(links), LABELS, LABELS))])
     p = marginals(unary, edges, potential, model["rounds"])
-    best = p.argmax(axis=1)
+    best = np.where(_reached(len(ws), edges.tolist(), (label >= 0) | linked.any(axis=1)), p.argmax(axis=1), LABELS - 1)
     out: list[list[int]] = []
     previous = -2
     for i in np.flatnonzero((label < 0) & (best < LABELS - 1) & (p.max(axis=1) >= model["accept"])).tolist():
