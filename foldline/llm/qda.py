@@ -11,7 +11,9 @@ All labelled rows are used.  Only sums of d * d values for each class reach the
 
 Defined results: null and empty texts have statistics of zero counts and are scored like
 any other.  Labels other than 0 and 1 (nulls too) teach nothing; a document labelled twice
-counts twice.  Without a row of either class every score is (n1 + 1) / (n0 + n1 + 2).
+counts twice.  Without a row of either class every score is (n1 + 1) / (n0 + n1 + 2).  Rows
+that repeat an id are scored one by one; an empty table gives an empty result.  Columns
+besides the text, the label and the named keys are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -82,7 +84,8 @@ def statistics(col: pa.Array) -> np.ndarray:
     line = newline[words.start]
     first = np.append(True, (line[1:] != line[:-1]) | (row[1:] != row[:-1])) if len(h) else np.zeros(0, bool)
     at = np.flatnonzero(first)
-    total = np.append(U(0), np.cumsum(tx.mix(h + U(1)) * (np.arange(len(h), dtype=U) - np.repeat(at, np.diff(np.append(at, len(h)))).astype(U) + U(1)) if len(h) else h, dtype=U))
+    place = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))  # in its line
+    total = np.append(U(0), np.cumsum(tx.mix(h + U(1)) * tx.powers(tx._GRAM, len(h) + 1)[place], dtype=U))
     lines = tx.mix(total[np.append(at[1:], len(h))] - total[at]) if len(h) else h
     dl, _ = _distinct(row[at], lines, n)
 
