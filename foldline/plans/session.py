@@ -8,8 +8,11 @@ before, in DataFrame operations, and comes in as columns.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable
+from math import inf
+from typing import NamedTuple
 
 from foldline.functions import jsonpatch as jp
 from foldline.functions import preview as pv
@@ -32,8 +35,8 @@ NAMED = re.compile(r"(?:retrieve|media)\('([A-Za-z0-9][A-Za-z0-9-]{6,})'")
 class Record:
     """One record: its line, its original object, and its edited one, if any."""
 
-    def __init__(self, row: dict):
-        self.pos, self.raw, self.row = row["pos"], row["raw"], row
+    def __init__(self, row: dict, at: int):
+        self.at, self.pos, self.raw, self.row = at, row["pos"], row["raw"], row
         self.type, self.uuid, self.parent = row["type"], row["uuid"], row["parent"]
         self.protected = row["guarded"] or row["preserved"]
         self.removed = self.dropped = row["drop_rule"] is not None
@@ -67,7 +70,7 @@ class Record:
 class Session:
     def __init__(self, file_id: str, rows: list[dict], parents: dict[str, set[str]] | None = None):
         self.id, self.parents = file_id, parents or {}
-        self.records = [Record(r) for r in rows]
+        self.records = [Record(r, at) for at, r in enumerate(rows)]
         self.sidechain = all(r["sidechain"] or r["type"] == "fork-context-ref" for r in rows)
 
     @property
@@ -162,18 +165,38 @@ def read_tool_targets(use: dict) -> list[ReadTarget]:
     return [ReadTarget(given["file_path"], start, start + size - 1)]
 
 
+class Shown:
+    """The ranges of lines of each file that later reads show; only those inside no other."""
+
+    def __init__(self):
+        self.of: dict[str, tuple[list[int], list[float]]] = {}
+
+    def covers(self, t: ReadTarget) -> bool:
+        starts, ends = self.of.get(t.path, ([], []))
+        i = bisect_right(starts, t.lo) - 1  # of the ranges that begin before, the last one ends last
+        return i >= 0 and ends[i] >= (inf if t.hi is None else t.hi)
+
+    def add(self, t: ReadTarget) -> None:
+        if self.covers(t):
+            return
+        starts, ends = self.of.setdefault(t.path, ([], []))
+        end = inf if t.hi is None else t.hi
+        i, j = bisect_left(starts, t.lo), bisect_right(ends, end)
+        starts[i : max(i, j)], ends[i : max(i, j)] = [t.lo], [end]
+
+
 def _supersede(rule: str, tools: tuple[str, ...], targets_of: Callable[[dict], list[ReadTarget]]) -> Callable[[Session], None]:
     def apply(s: Session) -> None:
         failed = {jp.text(b, "tool_use_id") for r in s.records for b in blocks(r.view, "tool_result") if b.get("is_error") is True}
         reads = [(i, t) for r in s.open() for b in blocks(r.view, "tool_use") if jp.text(b, "name") in tools and (t := targets_of(b)) and (i := jp.text(b, "id"))]
-        later: dict[str, list[ReadTarget]] = {}
+        later = Shown()
         gone: dict[str, list[ReadTarget]] = {}
         for n, (use_id, targets) in enumerate(reversed(reads)):
-            if n >= READ_KEEP and all(any(x.covers(t) for x in later.get(t.path, ())) for t in targets):
+            if n >= READ_KEEP and all(map(later.covers, targets)):
                 gone[use_id] = targets
             if use_id not in failed:
                 for t in targets:
-                    later.setdefault(t.path, []).append(t)
+                    later.add(t)
         for r in s.open() if gone else ():
             ids = {i for b in blocks(r.view, "tool_result") if (i := jp.text(b, "tool_use_id")) in gone and jp.units(x := result_text(b)) >= READ_MIN and not x.startswith(wd.STUB)}
             for b in blocks(r.edit(rule)) if ids else ():
@@ -232,78 +255,105 @@ def document_dedup(s: Session) -> None:
 
 
 # 6 ------------------------------------------------------------------------------------
-class Call:
-    def __init__(self, use_at: int, use: dict, result_at: int, result: dict):
-        self.use_at, self.result_at, self.use_id = use_at, result_at, use["id"]
-        self.tool, self.arg, self.text = jp.text(use, "name") or "?", main_argument(use), result_text(result)
-        self.error, self.media = result.get("is_error") is True, media_label(result)
-        self.media_bytes = sum(len(jp.text(p, "source", "data") or "") for p in media(result))
-        self.input_bytes = len(jp.dumps(use["input"], True)) if use.get("input") is not None else 0
+class Call(NamedTuple):
+    """A use and its result: where they stand in the session, and the blocks."""
+
+    use_at: int
+    result_at: int
+    use: dict
+    result: dict
+
+    @property
+    def outside(self) -> int:
+        """Bytes of the result that a digest line stands for."""
+        return jp.utf8(result_text(self.result)) + sum(len(jp.text(p, "source", "data") or "") for p in media(self.result))
+
+    @property
+    def asked(self) -> int:
+        return 0 if self.use.get("input") is None else len(jp.dumps(self.use["input"], True))
+
+    def line(self, uuid: str) -> str:
+        tool, arg, text = jp.text(self.use, "name") or "?", main_argument(self.use), result_text(self.result)
+        kinds = media_label(self.result)
+        said = pv.preview(tool, arg, text, self.result.get("is_error") is True)[:300]
+        return f"[{ref(uuid)}] {tool}({arg[:90]}) -> {jp.utf8(text)}b :: {said}{f' [+media {kinds} — media() decodes it]' if kinds else ''}\n"
+
+
+def _single(found: list[tuple[int, list[dict]]], key: str) -> dict[str, list[tuple[int, dict]]] | None:
+    """The blocks by the id under ``key``, in order; None if a record has two or one lacks an id."""
+    out: dict[str, list[tuple[int, dict]]] = {}
+    for at, some in found:
+        if len(some) != 1 or not jp.text(some[0], key):
+            return None
+        out.setdefault(some[0][key], []).append((at, some[0]))
+    return out
 
 
 def settled_calls(s: Session, span: range) -> list[Call]:
     """The turn's calls, by result; none if anything about the turn is not plain."""
-    waiting: dict[str, list[tuple[int, dict]]] = {}
+    records = [(i, s.records[i]) for i in span]
+    if any(r.protected or r.row["sidechain"] and not s.sidechain for _, r in records):
+        return []
+    uses = _single([(i, found) for i, r in records if r.type == "assistant" and (found := blocks(r.view, "tool_use"))], "id")
+    answers = [(i, r, found) for i, r in records if r.type == "user" and (found := blocks(r.view, "tool_result"))]
+    results = _single([(i, found) for i, _, found in answers], "tool_use_id")
+    if uses is None or results is None or any(r.uuid is None or len(blocks(r.view)) > 1 for _, r, _ in answers):
+        return []
+    if {k: len(x) for k, x in uses.items()} != {k: len(x) for k, x in results.items()}:
+        return []
+    calls = [Call(i, j, u, b) for k in uses for (i, u), (j, b) in zip(uses[k], results[k], strict=True)]
+    return sorted(calls, key=lambda c: c.result_at) if all(c.use_at < c.result_at for c in calls) else []
+
+
+class Entry(NamedTuple):
+    """What a folded record leaves in the digest, and the bytes that its removal saves."""
+
+    record: Record
+    text: str
+    saved: int
+    own_words: bool = False
+
+
+def _entries(s: Session, calls: list[Call]) -> list[Entry]:
+    """An entry for each record after the first use that the calls or their prose make up."""
+    asks, answers = {c.use_at: c for c in calls}, {c.result_at: c for c in calls}
     out = []
-    for i in span:
-        r = s.records[i]
-        if r.protected or (r.row["sidechain"] and not s.sidechain):
-            return []
-        if r.type == "assistant":
-            uses = blocks(r.view, "tool_use")
-            if len(uses) > 1 or (uses and not jp.text(uses[0], "id")):
-                return []
-            for u in uses:
-                waiting.setdefault(u["id"], []).append((i, u))
-        elif r.type == "user" and (results := blocks(r.view, "tool_result")):
-            match = waiting.get(jp.text(results[0], "tool_use_id") or "")
-            if len(results) > 1 or len(blocks(r.view)) > 1 or not match or r.uuid is None:
-                return []
-            out.append(Call(*match.pop(0), i, results[0]))
-    return [] if any(waiting.values()) else out
+    for r in s.records[min(c.use_at for c in calls) + 1 : max(answers) + 1]:
+        at = r.at
+        if at in answers:
+            out.append(Entry(r, answers[at].line(r.uuid), answers[at].outside))
+        elif r.type == "assistant" and (at in asks or is_prose(r)):
+            said = [t for b in blocks(r.view, "text") if (t := (jp.text(b, "text") or "").strip())]
+            notes = "".join(f"    (note) {t.replace(chr(10), chr(10) + '    ')}\n" for t in said)
+            out.append(Entry(r, notes, asks[at].asked if at in asks else 0, True))
+    return out
+
+
+def is_prose(r: Record) -> bool:
+    kinds = {jp.text(b, "type") for b in blocks(r.view)}
+    return bool(kinds) and kinds <= {"text", "thinking"}
 
 
 def _fold_turn(s: Session, span: range, discount: int) -> None:
-    calls = settled_calls(s, span)
-    if not calls or any(c.text.startswith(wd.CARRIER) for c in calls):
+    """The first use and its result stay; the result's text becomes the digest of the turn,
+    if that is GAIN times smaller than what goes (notes and what a later rule takes off the
+    header are not counted)."""
+    every = settled_calls(s, span)
+    calls = [c for c in every if s.records[c.result_at] is not s.tail]  # the tail stays as it is
+    first = min(every, key=lambda c: c.use_at, default=None)
+    if first not in calls or any(result_text(c.result).startswith(wd.CARRIER) for c in every):
         return
-    anchor = min(calls, key=lambda c: c.use_at)
-    start = anchor.use_at
-    calls = [c for c in calls if c.result_at < len(s.records) - 1]  # the tail stays as it is
-    if not calls:
+    entries = _entries(s, calls)
+    digest = (wd.header(len(calls), s.id) + "".join(e.text for e in entries)).rstrip("\n")
+    cost = jp.utf8(digest) - sum(jp.utf8(e.text) for e in entries if e.own_words) - discount
+    if cost * GAIN >= sum(e.saved for e in entries):
         return
-    by_use, by_result = {c.use_at: c for c in calls}, {c.result_at: c for c in calls}
-    body, gone, paid, notes = [wd.header(len(calls), s.id)], [], 0, 0
-    for i in range(start, max(by_result) + 1):
-        r = s.records[i]
-        parts = blocks(r.view)
-        prose = bool(parts) and all(jp.text(b, "type") in ("text", "thinking") for b in parts)
-        if r.type == "assistant" and (i in by_use or prose):
-            if i == start:
-                continue
-            gone.append(r)
-            paid += by_use[i].input_bytes if i in by_use else 0
-            for t in ((jp.text(b, "text") or "").strip() for b in blocks(r.view, "text")):
-                if t:
-                    note = f"    (note) {t.replace(chr(10), chr(10) + '    ')}\n"
-                    body.append(note)
-                    notes += jp.utf8(note)
-        elif i in by_result:
-            c = by_result[i]
-            more = f" [+media {c.media} — media() decodes it]" if c.media else ""
-            body.append(f"[{ref(r.uuid)}] {c.tool}({c.arg[:90]}) -> {jp.utf8(c.text)}b :: {pv.preview(c.tool, c.arg, c.text, c.error)[:300]}{more}\n")
-            paid += jp.utf8(c.text) + c.media_bytes
-            if i != anchor.result_at:
-                gone.append(r)
-    if anchor.result_at not in by_result:
-        return
-    digest = "".join(body).rstrip("\n")
-    if (jp.utf8(digest) - notes - discount) * GAIN >= paid:
-        return
-    for r in gone:
-        r.removed, r.rule = True, "chain-collapse"
-    for b in blocks(s.records[anchor.result_at].edit("chain-collapse")):
-        if jp.text(b, "tool_use_id") == anchor.use_id:
+    carrier = s.records[first.result_at]
+    for e in entries:
+        if e.record is not carrier:
+            e.record.removed, e.record.rule = True, "chain-collapse"
+    for b in blocks(carrier.edit("chain-collapse")):
+        if jp.text(b, "tool_use_id") == first.use["id"]:
             b["content"] = digest
 
 
@@ -363,26 +413,34 @@ def anchor_input(s: Session) -> None:
 
 
 # 9 ------------------------------------------------------------------------------------
-def _origin(s: Session, pos: int, use_id: str | None) -> tuple[str, str]:
-    """Tool and object of the nearest use before a result, within its turn."""
-    for i in range(pos - 1, -1, -1) if use_id else ():
-        r = s.records[i]
+def _origins(s: Session) -> dict[int, dict[str | None, tuple[str, str]]]:
+    """For each record with results: tool and object of the nearest use before it, within its
+    turn, by the results' ids."""
+    out: dict[int, dict[str | None, tuple[str, str]]] = {}
+    uses: dict[str, dict] = {}
+    for r in s.records:
+        if wanted := [jp.text(b, "tool_use_id") for b in blocks(r.view, "tool_result")]:
+            out[r.at] = {i: _said(uses[i]) for i in wanted if i in uses}
         if r.row["real_user"]:
-            break
+            uses = {}
         for u in blocks(r.root, "tool_use"):
-            if jp.text(u, "id") == use_id:
-                given = u.get("input") if isinstance(u.get("input"), dict) else {}
-                found = next((x for k in ("file_path", "path", "pattern") if (x := jp.text(given, k))), None)
-                return jp.text(u, "name") or "", found or (jp.text(given, "command") or "")[:80]
-    return "", ""
+            if i := jp.text(u, "id"):
+                uses[i] = u
+    return out
 
 
-def _shorter(s: Session, r: Record, block: dict, text: str) -> str | None:
+def _said(use: dict) -> tuple[str, str]:
+    given = use.get("input") if isinstance(use.get("input"), dict) else {}
+    found = next((x for k in ("file_path", "path", "pattern") if (x := jp.text(given, k))), None)
+    return jp.text(use, "name") or "", found or (jp.text(given, "command") or "")[:80]
+
+
+def _shorter(r: Record, origin: tuple[str, str], text: str) -> str | None:
     old, saved = r.aged(OLD), pv.persisted_path(text)
     if jp.units(text) < RESULT_MIN or text.startswith(wd.STUB) or (not old and (wd.TRIMMED in text or saved is not None)):
         return None
     if old:
-        tool, what = _origin(s, r.pos, jp.text(block, "tool_use_id"))
+        tool, what = origin
         new = f"{wd.STUB}{f': {tool}' if tool else ''}{f' {what}' if what else ''} — {text.count(chr(10)) + 1} lines, {jp.utf8(text) / 1024:.1f}KB{f'; full output: {saved}' if saved else ''}]"
     else:
         new = pv.minify(text)
@@ -397,17 +455,18 @@ def _shorter(s: Session, r: Record, block: dict, text: str) -> str | None:
 
 def result_age(s: Session) -> None:
     """Results of middle age are shortened, old ones become one line."""
-    for r in s.open():
-        if not r.aged(MID):
-            continue
+    aged = [r for r in s.open() if r.aged(MID)]
+    origins = _origins(s) if any(r.aged(OLD) for r in aged) else {}
+    for r in aged:
         for n, b in enumerate(jp.items(r.view, "message", "content")):
             if jp.text(b, "type") != "tool_result":
                 continue
+            origin = origins.get(r.at, {}).get(jp.text(b, "tool_use_id"), ("", ""))
             if isinstance(b.get("content"), str):
-                if (new := _shorter(s, r, b, b["content"])) is not None:
+                if (new := _shorter(r, origin, b["content"])) is not None:
                     r.edit("tool-result-age")["message"]["content"][n]["content"] = new
             for m, p in enumerate(jp.items(b, "content")):
-                if jp.text(p, "type") == "text" and (t := jp.text(p, "text")) is not None and (new := _shorter(s, r, b, t)) is not None:
+                if jp.text(p, "type") == "text" and (t := jp.text(p, "text")) is not None and (new := _shorter(r, origin, t)) is not None:
                     r.edit("tool-result-age")["message"]["content"][n]["content"][m]["text"] = new
 
 
