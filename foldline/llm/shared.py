@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests, one
-    machine), a temporary folder which then becomes the checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``; where that is unset and all runs in one
+    process (a local master, as in tests), a temporary folder which then becomes the
+    checkpoint folder.  On a cluster it must be set: a folder of one machine is no use there."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        found = spark.sparkContext.getCheckpointDir()
-        folder = found or tempfile.mkdtemp(prefix="foldline-")
-        if not found:
-            spark.sparkContext.setCheckpointDir(folder)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="foldline-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
 
@@ -50,7 +53,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     so a lost executor costs a read and no recomputation."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # the shuffles' files go once the table is written, not when the driver collects its garbage
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
