@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from foldline.llm import decontam
 from foldline.llm.components import components
@@ -60,6 +61,43 @@ def test_repeats(spark, window, k):
     assert sorted(got, key=key) == sorted(spans(rows, window), key=key)
 
 
+def test_many_equal_rows_take_linear_time(spark):
+    rng = random.Random(2)
+    text = " ".join(f"t{rng.randrange(10_000)}" for _ in range(400))
+    other = " ".join(f"u{rng.randrange(10_000)}" for _ in range(400))
+    rows = [(7, text)] * 3000 + [(None, text)] * 1000 + [(8, other), (9, "begin " + text + " end"), (None, other + " more")]
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in remove_repeats(frame(spark, rows)).collect())
+    assert got == {(7, 400, 400): 3000, (None, 400, 400): 1000, (8, 400, 400): 1, (9, 402, 400): 1, (None, 401, 400): 1}
+
+
+def test_long_chains_and_long_texts(spark):
+    rng = random.Random(3)
+    words = [f"l{rng.randrange(3000)}" for _ in range(30_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x", *words[5000:25_000], "y"])), (3, " ".join(words[:10_000])), (4, "z " * 50_000), (5, " ".join(words[9000:9040] + ["q"] + words[9040:9100]))]
+    got = sorted(tuple(r) for r in remove_repeats(frame(spark, rows)).collect())
+    assert got == spans(rows, 35)
+
+
+def test_words_are_compared_at_their_coordinates(spark, monkeypatch):
+    from foldline.llm import debruijn
+
+    real = debruijn.walks
+    passage, other = " ".join(f"p{i}" for i in range(50)), " ".join(f"o{i}" for i in range(60))
+
+    def confused(docs, window, k, salt):
+        """One text's first step taken for another's, as if their hashes were equal at first."""
+        walk = real(docs, window, k, salt)
+        if salt:
+            return walk
+        step = walk.orderBy("start").limit(1).select("anchor", "path", "n", "before", "after")
+        row = docs.filter("row_key = 3").select(*debruijn.KEY, F.lit(0).alias("start")).crossJoin(step)
+        return debruijn.table(walk.unionByName(row.select(walk.columns)), "confused")
+
+    monkeypatch.setattr(debruijn, "walks", confused)
+    rows = [(1, passage), (2, "a " + passage + " b"), (3, other)]
+    assert sorted(tuple(r) for r in remove_repeats(frame(spark, rows)).collect()) == spans(rows, 35)
+
+
 def test_repeats_of_nothing(spark):
     assert remove_repeats(frame(spark, [])).collect() == []
     with pytest.raises(ValueError):

@@ -253,6 +253,19 @@ def test_mix_takes_prefixes_of_seeded_epochs(spark):
     assert mix(df.limit(0), {"lang": "lang"}, {}, 0.5).count() == 0
 
 
+def test_near_duplicates_stage_keeps_one_row_of_each_group(spark):
+    text = lambda n: " ".join(f"{n}w{j}" for j in range(30))
+    rows = [(1, text("a"), "en", "s", 1), (1, text("b"), "en", "s", 1), (None, text("a") + " more", "en", "s", 1), (None, text("c"), "en", "s", 1), (None, text("c"), "de", "s", 1), (5, text("b"), "en", "s", 1), (7, text("d"), "en", "t", 1), (7, text("d"), "en", "s", 1), (8, None, "en", "s", 1), (9, "", "en", "s", 1), (3, text("e"), None, None, None), (2, text("e"), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted([tuple(r) for r in out.collect()], key=str)
+    want = [(1, text("a")), (1, text("b")), (None, text("c")), (7, text("d")), (8, None), (9, ""), (2, text("e"))]
+    assert sorted([r[:2] for r in got], key=str) == sorted(want, key=str)
+    assert (7, text("d"), "en", "s", 1) in got and (None, text("c"), "de", "s", 1) in got
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     base = "the house and the garden of the old teacher who was reading a long letter to all of them in the evening"
     item = "what is the answer to the question that nobody asked before in this very room"
