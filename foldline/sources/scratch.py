@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 class Scratch:
     """cut() ends a DataFrame's lineage with a checkpoint in ``spark.checkpoint.dir``; where
-    that is unset (tests, one machine) a temporary folder becomes it."""
+    that is unset and the master is local (as in tests) a temporary folder becomes it."""
 
     def __init__(self, spark: SparkSession):
         if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foldline-"))
 
     def cut(self, df: DataFrame) -> DataFrame:
