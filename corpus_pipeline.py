@@ -7,7 +7,7 @@ documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldline.llm import decontam, jaccard, langid, mixing, pii, queries
@@ -15,17 +15,24 @@ from foldline.llm.shared import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language (lang is then the one found); letterless ones go."""
+    """Keeps documents with a language (lang is then the one found).  Rejected are those without
+    a letter, and those of which no language is more likely than all others together."""
     return langid.keep_identified(docs, langid.fit(docs.filter(~langid.held_out())))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group that links by similar shingle sets (five
-    words, 0.8), and of rows that share an id one; rows without an id stay."""
-    groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    firsts = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    """Keeps one document of each group that links by similar shingle sets (five words, 0.8):
+    that of least id (rows without an id come last), and of rows of one id that of least key.  A row is known by
+    a key of its id and text, so rows that repeat an id with other texts are documents of
+    their own, and equal rows are one (of different lang or source, the first by these)."""
+    key = F.xxhash64("doc_id", "text")
+    rows = docs.select(key.alias("key"), "doc_id", "text")
+    groups = jaccard.near_duplicates(rows, id_col="key").select(F.col("doc_id").alias("key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    firsts = table(rows.select("key", "doc_id").join(groups, "key").groupBy("component_id").agg(F.min_by("key", order).alias("key")).select("key"), "firsts")
+    kept = docs.withColumn("_key", key).join(firsts.withColumnRenamed("key", "_key"), "_key", "left_semi")
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")]))
+    return kept.withColumn("_place", place).filter("_place = 1").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
