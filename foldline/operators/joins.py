@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from math import inf
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +18,40 @@ def as_of_backward(df: DataFrame, part: list[str], order: list[str], asks: Colum
     return df.withColumn(name, F.last(F.when(answers, value), ignorenulls=True).over(before)).filter(asks)
 
 
+def _contained(part: list[str], lo: str, hi: str):
+    """Keeps the rows, latest first within each part, whose interval an earlier row contains."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, starts, ends = None, [], []  # the part's intervals that lie in no other: both ascend
+        for b in batches:
+            keep = []
+            keys = zip(*(b.column(c).to_pylist() for c in part), strict=True)
+            for key, x, y in zip(keys, b.column(lo).to_pylist(), b.column(hi).to_pylist(), strict=True):
+                if key != now:
+                    now, starts, ends = key, [], []
+                if x is None or None in key:
+                    keep.append(False)
+                    continue
+                y = inf if y is None else y
+                i = bisect_right(starts, x) - 1  # of those that begin before, the last one ends last
+                keep.append(i >= 0 and ends[i] >= y)
+                if not keep[-1]:
+                    i = bisect_left(starts, x)
+                    j = max(i, bisect_right(ends, y))
+                    starts[i:j], ends[i:j] = [x], [y]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def superseded(df: DataFrame, part: list[str], pos: list[str], lo: str, hi: str) -> DataFrame:
-    """Rows whose interval a later row of the partition contains.  A null hi is unbounded.
-
-    Per partition the later rows are met on equal keys with the range as the condition; a
-    semi join stops at a row's first match."""
-    key = F.struct(*[F.col(c) for c in pos])
-    left = df.withColumn("_k", key)
-    right = df.select(*[F.col(c).alias(f"_{c}") for c in part], key.alias("_r"), F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
-    on = [F.col(c) == F.col(f"_{c}") for c in part]
-    on += [F.col("_r") > F.col("_k"), F.col("_lo") <= F.col(lo), F.col("_hi").isNull() | (F.col(hi).isNotNull() & (F.col("_hi") >= F.col(hi)))]
-    return left.join(right, on, "left_semi").drop("_k")
+    """Rows whose interval a later row of the partition contains.  A null hi is unbounded; rows
+    with a null lo or a null in the partition's key neither contain nor are contained.
+
+    One sort and one pass over each partition, latest rows first, that holds only the
+    intervals that lie in no other: no pairs are formed, however hot a key is."""
+    rows = df.repartition(*part).sortWithinPartitions(*part, *[F.desc(c) for c in pos])
+    return rows.mapInArrow(_contained(part, lo, hi), df.schema)
 
 
 def append_missing(new: DataFrame, archived: DataFrame, identity: list[str], order: list[str]) -> DataFrame:
