@@ -31,12 +31,23 @@ def worst(files: DataFrame, ours: str, theirs: str, n: int = 5) -> DataFrame:
     return files.withColumn("loss", F.col(ours) - F.col(theirs)).filter("loss > 0").orderBy(F.desc("loss"), *files.columns[:1]).limit(n)
 
 
-def rank_percentiles(df: DataFrame, part: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Values at rank min(n - 1, floor(p n)), counted from 0, of each group."""
-    w = Window.partitionBy(*part)
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    at = {name: F.max(F.when(F.col("_r") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p))), F.col(value))) for name, p in shares.items()}
-    return ranked.groupBy(*part).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.max(value).alias("max"), *[c.alias(n) for n, c in at.items()])
+def rank_percentiles(df: DataFrame, part: list[str], value: str, shares: dict[str, float], cells: int = 64) -> DataFrame:
+    """mean, median and max of each group, and the values at rank min(n - 1, floor(p n)),
+    counted from 0.  Approximate quantiles deal a group's values to cells; counts tell which
+    cell holds a rank, and only such cells are ordered, each in a task of its own."""
+    rows = df.filter(F.col(value).isNotNull()).select(*part, F.col(value).alias("_v"))
+    edges = F.percentile_approx("_v", F.array(*[F.lit(i / cells) for i in range(1, cells)]))
+    whole = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("mean"), F.max("_v").alias("max"), edges.alias("_e"))
+    placed = rows.join(whole.select(*part, "_e"), part).select(*part, "_v", F.size(F.filter("_e", lambda e: e < F.col("_v"))).alias("_c"))
+    counts = placed.groupBy(*part, "_c").agg(F.count(F.lit(1)).alias("_in"))
+    counts = counts.withColumn("_before", F.sum("_in").over(Window.partitionBy(*part).orderBy("_c")) - F.col("_in"))  # a row for each cell
+    ranks = {"_low": F.expr("(_n - 1) div 2"), "_high": F.expr("_n div 2")} | {n: F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p))) for n, p in shares.items()}
+    wanted = whole.select(*part, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), r.cast("long").alias("rank")) for n, r in ranks.items()])).alias("w")).select(*part, "w.*")
+    wanted = wanted.join(counts, part).filter("rank >= _before and rank < _before + _in").select(*part, "_c", "_before", "name", "rank")
+    cell = placed.join(wanted.select(*part, "_c", "_before").distinct(), [*part, "_c"])
+    cell = cell.withColumn("rank", F.col("_before") + F.row_number().over(Window.partitionBy(*part, "_c").orderBy("_v")) - 1)
+    found = cell.join(wanted.select(*part, "name", "rank"), [*part, "rank"]).groupBy(*part).agg(*[F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in ranks])
+    return whole.select(*part, "mean", "max").join(found, part).select(*part, "mean", ((F.col("_low") + F.col("_high")) / 2).alias("median"), "max", *shares)
 
 
 def size_tiers(files: DataFrame, size: str, tiers: int = 4) -> DataFrame:
