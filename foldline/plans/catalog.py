@@ -230,9 +230,9 @@ def trimmed_mean(spark, d):
     return kept.agg(F.sum("kept").cast("long").alias("n"), F.round(F.sum(F.col("v") * F.col("kept")).cast("double") / F.sum("kept"), 4).alias("trimmed_mean"))
 
 
-@query("""SELECT event_id FROM events WHERE event_type IN ('signup', 'purchase') AND user_id % 7 <> 0""")
+@query("""SELECT event_id FROM events WHERE event_type IN ('signup', 'purchase') AND NOT coalesce(value >= 100, FALSE)""")
 def class_filter(spark, d):
-    return read(spark, d, "events").filter(F.col("event_type").isin("signup", "purchase") & (F.col("user_id") % 7 != 0)).select("event_id")
+    return read(spark, d, "events").filter(F.col("event_type").isin("signup", "purchase") & ~F.coalesce(F.col("value") >= 100, F.lit(False))).select("event_id")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

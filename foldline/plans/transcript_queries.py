@@ -59,10 +59,10 @@ def restore_order(spark, d):
     return verbs.restored(backwards, records, merged=True).select("file_id", "pos", F.get_json_object("line", "$.uuid").alias("uuid"))
 
 
-@query("""SELECT CAST(conv_id AS VARCHAR) AS file_id, CAST(turn AS BIGINT) AS seq, CAST(length(text) AS INT) AS chars FROM conversations WHERE conv_id = 7""")
+@query("""SELECT CAST(conv_id AS VARCHAR) AS file_id, CAST(turn AS BIGINT) AS seq, left(conv_id || '-' || turn, 8) AS ref, CAST(length(text) AS INT) AS chars, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INT) AS lines, CAST(length(text) // 4 AS BIGINT) AS tokens FROM conversations""")
 def retrieve_info(spark, d):
     _, every = _mirror(spark, d)
-    return verbs.retrieve(every, "7").select(F.lit("7").alias("file_id"), "seq", "chars")
+    return verbs.measured(verbs.contents(every)).select("file_id", "seq", "ref", "chars", "lines", F.col("tokens").cast("long").alias("tokens"))
 
 
 @query("""SELECT CAST(conv_id AS VARCHAR) AS file_id, CAST(sum(b) AS BIGINT) AS loaded_bytes, CAST(sum(b - b // 2) AS BIGINT) AS removed_bytes FROM (SELECT conv_id, octet_length(encode(text)) AS b FROM conversations) GROUP BY conv_id""")
@@ -98,9 +98,11 @@ def previews(spark, d):
     return read(spark, d, "documents").select("doc_id", "text").mapInArrow(_previews, "doc_id long, preview string, minified_chars long")
 
 
-@query("""SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS uuid FROM conversations""")
+@query("""SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS uuid, CAST(octet_length(encode(CASE WHEN role = 'user' THEN '{"type":"user",' || id || '"message":{"role":"user","content":' || to_json(text) || '}}'
+ ELSE '{"type":"assistant",' || id || '"message":{"role":"' || role || '","content":[{"type":"text","text":' || to_json(text) || '}]}}' END)) AS BIGINT) AS bytes
+FROM (SELECT *, '"uuid":"' || conv_id || '-' || turn || '",' || CASE WHEN turn > 0 THEN '"parentUuid":"' || conv_id || '-' || (turn - 1) || '",' ELSE '' END || '"sessionId":"' || conv_id || '",' AS id FROM conversations)""")
 def record_sizes(spark, d):
-    return housekeeping.record_sizes(session_lines(spark, d)).select("uuid")
+    return housekeeping.record_sizes(session_lines(spark, d)).select("uuid", "bytes")
 
 
 @query("""SELECT CAST(conv_id AS VARCHAR) AS file_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")

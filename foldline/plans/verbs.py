@@ -60,7 +60,7 @@ def _texts(with_inputs: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for seq, uuid, line in zip(*(b.column(c).to_pylist() for c in ("seq", "uuid", "line")), strict=True):
+            for file_id, seq, uuid, line in zip(*(b.column(c).to_pylist() for c in ("file_id", "seq", "uuid", "line")), strict=True):
                 try:
                     root = jp.loads(line)
                 except ValueError:
@@ -69,31 +69,43 @@ def _texts(with_inputs: bool):
                 found = [content] if isinstance(content, str) else [t for k in blocks(root) if (t := session.block_text(k))] if isinstance(root, dict) else []
                 if with_inputs and isinstance(root, dict):
                     found += [jp.dumps(u["input"]) for u in blocks(root, "tool_use") if u.get("input") is not None]
-                out += [{"seq": seq, "ref": (uuid or "")[:8], "n": n, "text": t} for n, t in enumerate(found)]
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("seq", pa.int64()), ("ref", pa.string()), ("n", pa.int32()), ("text", pa.string())]))
+                out += [{"file_id": file_id, "seq": seq, "ref": (uuid or "")[:8], "n": n, "text": t} for n, t in enumerate(found)]
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("file_id", pa.string()), ("seq", pa.int64()), ("ref", pa.string()), ("n", pa.int32()), ("text", pa.string())]))
 
     return run
 
 
+def contents(rows: DataFrame, with_inputs: bool = False) -> DataFrame:
+    """file_id, seq, ref, n and text of every text in archive rows; a uuid that is archived
+    twice counts once, its first copy."""
+    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("file_id", "identity").orderBy("seq"))).filter("_n = 1 or uuid is null")
+    return once.select("file_id", "seq", "uuid", "line").mapInArrow(_texts(with_inputs), "file_id string, seq long, ref string, n int, text string")
+
+
+def measured(texts: DataFrame) -> DataFrame:
+    """How long each text is, in characters, lines and about how many tokens."""
+    return texts.select("file_id", "seq", "ref", "n", F.length("text").alias("chars"), F.size(F.split("text", "\n")).alias("lines"), F.expr("length(text) div 4").alias("tokens"))
+
+
 def retrieve(mirror: DataFrame, name: str, ref: str | None = None, grep: str | None = None, mode: str = "info") -> DataFrame:
     """What the archive holds of a session, narrowed by the beginning of a ref and by a
     substring (any case).  mode: info (ref, chars, lines, about how many tokens), grep
     (matching lines) or full (texts).  A uuid archived twice counts once, its first copy."""
     rows = mirror.join(resolve(mirror, name), "file_id", "left_semi")
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("file_id", "identity").orderBy("seq"))).filter("_n = 1 or uuid is null")
     if ref is not None:
         rows = rows.filter(F.lower("uuid").startswith(ref.lower()))
     if grep is not None:
         rows = rows.filter(F.lower("line").contains(grep.lower()) | F.lit(re.search(r"[\"\\\n/]|[^\x20-\x7e]", grep) is not None))
-    texts = rows.select("seq", "uuid", "line").mapInArrow(_texts(ref is not None), "seq long, ref string, n int, text string")
+    texts = contents(rows, ref is not None)
     if grep is not None:
         texts = texts.filter(F.contains(F.lower("text"), F.lit(grep.lower())))
+    texts = texts if mode == "info" else texts.drop("file_id")
     if mode == "full":
         return texts
     if mode == "grep" or (grep is not None and mode != "info"):
         lines = texts.select("seq", "ref", "n", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         return lines.filter(F.contains(F.lower("line"), F.lit((grep or "").lower())))
-    return texts.select("seq", "ref", "n", F.length("text").alias("chars"), F.size(F.split("text", "\n")).alias("lines"), F.expr("length(text) div 4").alias("tokens"))
+    return measured(texts).drop("file_id")
 
 
 def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
