@@ -12,19 +12,33 @@ each by largest remainder (ties: the name that sorts first).
 A leaf's budget is whole epochs of its documents plus a prefix of one more epoch.  Each
 epoch has an order of its own, by md5 of seed, epoch and id.  The prefix is found in two
 steps, by sums over md5 buckets and then within the one bucket that the budget ends in, so
-no task orders a whole leaf.  The document that the budget ends in is taken in part.
+no task orders a whole leaf.  What comes back is one row for each leaf, the place that the
+budget ends at, and every document is compared with its leaf's place where it stands: texts
+are never shuffled.  The document that the budget ends in is taken in part.
 
-Defined results: null levels are a node named ``(none)``; documents without tokens are
-never taken; nodes of weight 0 or less get nothing; rows of one id are ordered by their
-number of tokens.  A budget above the root's capacity is that capacity.
+Words are counted once for all budgets, into a narrow table (once more where texts are kept).
+Leaves join by broadcast up to ``MOST_LEAVES`` of them, and by a shuffle beyond that.
+
+Defined results: null levels are a node named ``(none)``; documents without tokens (null
+and empty texts) are never taken; nodes of weight 0 or less get nothing; rows of one id are
+ordered by their number of tokens, and of equal rows as many are taken as the budget has room
+for; rows without an id are ordered by a hash of their text.  A budget above the root's
+capacity is that capacity.  An empty table gives an empty mixture.  Other columns of the
+input are not read, whatever their names, but for those in ``keep``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foldline.llm.shared import table
+
+#: Leaves of a tree that are broadcast (some 100 bytes each).
+MOST_LEAVES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: One level's shares.  {nodes}: the level's nodes with cap and w; {up}: the parents with
 #: budget; {keys}: the parents' columns; {name}: the level's own column; {div}: whole division.
@@ -61,35 +75,57 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, str],
     return up.select(*levels, "cap", "budget")
 
 
+def _ends(rows: DataFrame, shares: DataFrame, names: list[str]) -> DataFrame:
+    """The shares with ``end``, the place (place, id, n_tokens) of the last document that the
+    rest of the leaf's budget reaches, and ``ahead``, the tokens before it; null without a rest."""
+    within = rows.join(shares.filter("rest > 0"), names).withColumn("place", _place("whole")).withColumn("bucket", F.substring("place", 1, 3))
+    sums = within.groupBy(*names, "bucket", "rest").agg(F.sum("n_tokens").alias("inside"))
+    sums = sums.withColumn("before", F.sum("inside").over(Window.partitionBy(*names).orderBy("bucket")) - F.col("inside"))
+    last = table(sums.filter("before < rest and before + inside >= rest").select(*names, "bucket", "before"), "buckets")  # one for each leaf
+    near = within.join(_small(last), [*names, "bucket"]).groupBy(*names, "place", "id", "n_tokens", "rest", "before").agg(F.count(F.lit(1)).alias("rows"))
+    at = Window.partitionBy(*names).orderBy("place", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("ahead", F.col("before") + F.coalesce(F.sum(F.col("n_tokens") * F.col("rows")).over(at), F.lit(0))).filter("ahead < rest")
+    end = F.struct("place", "id", "n_tokens")
+    ends = near.groupBy(*names).agg(F.max(end).alias("end"), F.max_by("ahead", end).alias("ahead"))
+    return table(shares.join(ends, names, "left"), "ends")
+
+
+def _place(epoch: str) -> Column:
+    return F.md5(F.concat_ws(":", "seed", epoch, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), "blank"))).cast("binary"))
+
+
+def _small(leaves: DataFrame) -> DataFrame:
+    """A written table of a row for each leaf, broadcast if it has MOST_LEAVES at most."""
+    return F.broadcast(leaves) if leaves.count() <= MOST_LEAVES else leaves
+
+
 def mix(documents: DataFrame, levels: dict[str, str], weights: dict[str, str], budget: float | int, max_epochs: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the levels, epoch, n_tokens, n_taken and the ``keep`` columns, for every epoch
     that takes a document.  budget: tokens, or below 1 a share of all tokens.  weights: SQL
     over the levels, by level (1 where none is given)."""
     names = list(levels)
+    text, key = F.col(text_col).cast("string"), F.col(id_col).cast("long")
     docs = documents.select(
-        F.col(id_col).cast("long").alias("doc_id"), *[F.coalesce(F.expr(e).cast("string"), F.lit("(none)")).alias(c) for c, e in levels.items()],
-        F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
-        *[F.col(c).alias(f"_{c}") for c in keep],
-    ).filter("n_tokens > 0")
-    leaves = docs.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
+        key.alias("doc_id"), *[F.coalesce(F.expr(e).cast("string"), F.lit("(none)")).alias(c) for c, e in levels.items()],
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"), F.when(key.isNull(), F.xxhash64(text)).alias("blank"), F.lit(str(seed)).alias("seed"),
+        F.coalesce(key, F.lit(-(2**63))).alias("id"), *[F.col(c).alias(f"_{c}") for c in keep],
+    )
+    counted = table(docs.drop(*[f"_{c}" for c in keep]), "tokens").filter("n_tokens > 0")
+    docs = docs.filter("n_tokens > 0") if keep else counted
+    leaves = table(counted.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     if budget < 1:
-        tenths = round(budget * 1000)
-        budget = (leaves.agg(F.sum("tokens")).first()[0] or 0) * tenths // 1000
+        share = Fraction(str(budget))
+        budget = (leaves.agg(F.sum("tokens")).first()[0] or 0) * share.numerator // share.denominator
     shares = leaf_budgets(leaves, names, weights, int(budget), max_epochs)
-    tokens = F.expr(f"cap div {max_epochs}")
-    shares = shares.select(*names, F.expr(f"budget div (cap div {max_epochs})").cast("int").alias("whole"), F.expr(f"budget % (cap div {max_epochs})").alias("rest"), tokens.alias("tokens"))
-
-    placed = docs.join(shares, names)
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "whole", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    placed = placed.withColumn("place", order).withColumn("bucket", F.substring("place", 1, 3))
-    sums = docs.select("doc_id", *names, "n_tokens").join(shares, names).withColumn("place", order).groupBy(*names, F.substring("place", 1, 3).alias("bucket")).agg(F.sum("n_tokens").alias("inside"))
-    w = Window.partitionBy(*names).orderBy("bucket")
-    sums = sums.withColumn("before", F.sum("inside").over(w) - F.col("inside"))
-    placed = placed.join(sums, [*names, "bucket"])
+    shares = table(shares.select(*names, F.expr(f"budget div (cap div {max_epochs})").cast("int").alias("whole"), F.expr(f"budget % (cap div {max_epochs})").alias("rest")), "shares")
+
+    placed = docs.join(_small(_ends(counted, _small(shares), names)), names).withColumn("place", F.when(F.col("end").isNotNull(), _place("whole")))
+    here = F.struct("place", "id", "n_tokens")
+    placed = placed.withColumn("whole_too", F.coalesce(here < F.col("end"), F.lit(False)))
     out = ["doc_id", *names, "epoch", "n_tokens", "n_taken", *[F.col(f"_{c}").alias(c) for c in keep]]
-    whole = placed.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).withColumn("n_taken", F.col("n_tokens"))
-    inner = placed.filter("before + inside <= rest").withColumn("epoch", F.col("whole")).withColumn("n_taken", F.col("n_tokens"))
-    at = Window.partitionBy(*names).orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    edge = placed.filter("before < rest and before + inside > rest").withColumn("ahead", F.col("before") + F.coalesce(F.sum("n_tokens").over(at), F.lit(0)))
-    edge = edge.filter("ahead < rest").withColumn("epoch", F.col("whole")).withColumn("n_taken", F.least("n_tokens", F.col("rest") - F.col("ahead")))
-    return whole.select(*out).unionByName(inner.select(*out)).unionByName(edge.select(*out))
+    epochs = F.col("whole") - 1 + F.col("whole_too").cast("int")
+    all_ = placed.filter("whole > 0 or whole_too").withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs))).withColumn("n_taken", F.col("n_tokens"))
+    # The document that the budget ends in, and rows that equal it.
+    edge = placed.filter(here == F.col("end")).withColumn("n", F.row_number().over(Window.partitionBy(*names).orderBy("place")) - 1)
+    edge = edge.withColumn("n_taken", F.least("n_tokens", F.col("rest") - F.col("ahead") - F.col("n") * F.col("n_tokens"))).filter("n_taken > 0").withColumn("epoch", F.col("whole"))
+    return all_.select(*out).unionByName(edge.select(*out))

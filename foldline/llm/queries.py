@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -93,13 +94,14 @@ def _mix_sql() -> str:
         out.append(f"l{i} AS (SELECT {', '.join(keys)}, {name}, CAST(sum(cap) AS BIGINT) AS cap, CAST(max(w_{name}) AS BIGINT) AS w FROM leaf GROUP BY {', '.join(keys)}, {name})")
         out.append(f"b{i} AS ({share_sql(f'l{i}', f'b{i - 1}' if i else 'top', keys, name, '//')})")
     weights = ", ".join(f"{MIX_WEIGHTS.get(n, '1')} AS w_{n}" for n in names)
+    part = Fraction(str(MIX_BUDGET))
     return rf"""
 WITH d AS (SELECT doc_id, coalesce('d' || (TRY_CAST(regexp_extract(source, '[0-9]+$', 0) AS INT) % 3), '(none)') AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+')) AS BIGINT) AS n_tokens FROM documents),
 doc AS (SELECT * FROM d WHERE n_tokens > 0),
 leaf AS (SELECT *, tokens * {MIX_EPOCHS} AS cap, {weights} FROM (SELECT 0 AS root, domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM doc GROUP BY domain, lang, source)),
-top AS (SELECT 0 AS root, least(CAST(sum(cap) AS BIGINT), CAST(sum(tokens) AS BIGINT) * {round(MIX_BUDGET * 1000)} // 1000) AS budget FROM leaf),
+top AS (SELECT 0 AS root, least(CAST(sum(cap) AS BIGINT), CAST(sum(tokens) AS BIGINT) * {part.numerator} // {part.denominator}) AS budget FROM leaf),
 {", ".join(out)},
 share AS (SELECT domain, lang, source, CAST(budget // (cap // {MIX_EPOCHS}) AS INT) AS whole, budget % (cap // {MIX_EPOCHS}) AS rest FROM b{len(names) - 1}),
 placed AS (SELECT doc.*, whole, rest, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{MIX_SEED}:' || whole || ':' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
