@@ -1,55 +1,48 @@
 """The compaction plan: archive first, decide, rewrite, validate, commit what holds.
 
-Records come from sources.transcripts.  Everything that a window, a join or an aggregate
-can decide is decided there (kept uuids, age clocks, turns, removals); one exchange on
-file_id then brings each session's records to the rules that edit content.
+Records come from sources.transcripts, or straight from lines.  The rules that edit content
+need all of a session's records and one another's edits, so a session's records meet in one
+task, in one exchange on file_id; whatever else a record's fate depends on (kept uuids, age
+clocks, removals) is read there from the parsed facts, in two passes over the session.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from foldline.functions import jsonpatch as jp
-from foldline.operators import joins, windows
+from foldline.operators import joins
 from foldline.plans.session import Session, compact_session
-from foldline.sources.transcripts import from_lines
+from foldline.sources.transcripts import from_lines, parsed
 
-OUT = "file_id string, pos int, line string, rule string, refused string"
+OUT = "file_id string, pos int, line string, rule string, refused string, bytes long"
 MIRROR = "file_id string, seq long, identity string, uuid string, line string"
 
 
-def _identity(s: pa.ChunkedArray | list[str]) -> list[str]:
-    import hashlib
+@F.pandas_udf(StringType())
+def _without_leaf(lines: pd.Series) -> pd.Series:
+    """Lines (nulls stay) as compact JSON without leafUuid, if they have one."""
 
-    out = []
-    for line in s:
-        body = line.removesuffix("\r")
+    def short(line: str) -> str:
         try:
-            root = jp.loads(body)
+            root = jp.loads(line)
         except ValueError:
-            root = None
-        if isinstance(root, dict) and isinstance(root.get("uuid"), str):
-            out.append("u:" + root["uuid"])
-            continue
-        if isinstance(root, dict) and root.get("leafUuid") is not None:
-            body = jp.dumps({k: v for k, v in root.items() if k != "leafUuid"})
-        out.append("h:" + hashlib.sha256(body.encode()).hexdigest().upper())
-    return out
+            return line
+        return jp.dumps({k: v for k, v in root.items() if k != "leafUuid"}) if isinstance(root, dict) and root.get("leafUuid") is not None else line
 
-
-def _with_identity(batches):
-    for b in batches:
-        lines = b.column("line").to_pylist()
-        yield b.append_column("identity", pa.array(_identity(lines), pa.string()))
+    return lines.map(short, na_action="ignore")
 
 
 def with_identity(lines: DataFrame) -> DataFrame:
-    """identity of each line: its uuid, else a hash of it without leafUuid, which a rewrite
-    may change."""
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
-    return lines.mapInArrow(_with_identity, f"{shape}, identity string")
+    """identity of each line (uuid, line): its uuid, else a hash of it without leafUuid, which
+    a rewrite may change.  Only such lines are parsed again."""
+    odd = F.col("uuid").isNull() & F.contains("line", F.lit('"leafUuid"'))
+    body = F.coalesce(_without_leaf(F.when(odd, F.col("line"))), F.col("line"))
+    return lines.withColumn("identity", F.coalesce(F.concat(F.lit("u:"), "uuid"), F.concat(F.lit("h:"), F.upper(F.sha2(body, 256)))))
 
 
 def missing_originals(records: DataFrame, mirror: DataFrame) -> DataFrame:
@@ -65,34 +58,47 @@ def missing_originals(records: DataFrame, mirror: DataFrame) -> DataFrame:
     return both.select("file_id", (F.coalesce("_s", F.lit(-1)) + 1 + F.col("pos")).alias("seq"), "identity", "uuid", "line")
 
 
-def annotate(records: DataFrame) -> DataFrame:
-    """preserved, turns_after, results_after and drop_rule (12, 14 to 17 of the catalog) of
-    each record, all read from the originals."""
-    kept = records.filter("boundary").select("file_id", F.explode("keep").alias("uuid")).distinct().withColumn("preserved", F.lit(True))
-    rows = records.join(kept, ["file_id", "uuid"], "left").withColumn("preserved", F.coalesce("preserved", F.lit(False)))
-    after = Window.partitionBy("file_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    rows = windows.age_clock(rows, ["file_id"], ["pos"], {"turns_after": F.col("prompt")})
-    rows = rows.withColumn("results_after", F.coalesce(F.sum("n_results").over(after), F.lit(0)).cast("long"))
-    last = F.max("pos").over(Window.partitionBy("file_id"))
-    same = F.max("pos").over(Window.partitionBy("file_id", "last_class"))
-
-    # A notice goes if a later record shows the same file whole: a notice, a read or a write.
-    uses = records.select("file_id", F.col("pos").alias("use_pos"), F.explode("uses").alias("u")).select("file_id", "use_pos", F.col("u.id").alias("view_id"), F.col("u.name").alias("tool"))
-    views = records.filter("view_file is not null").select("file_id", "pos", "view_file", "view_tool", "view_id")
-    made = views.join(uses, ["file_id", "view_id"]).filter("use_pos < pos").groupBy("file_id", "pos", "view_file", "view_tool").agg(F.max_by("tool", "use_pos").alias("tool")).filter("tool = view_tool")
-    shown = made.select("file_id", F.col("view_file").alias("notice_file"), "pos").unionByName(records.filter("notice_file is not null").select("file_id", "notice_file", "pos"))
-    latest = shown.groupBy("file_id", "notice_file").agg(F.max("pos").alias("_shown"))
-    rows = rows.join(latest, ["file_id", "notice_file"], "left")
-    free = ~F.col("guarded") & ~F.col("preserved")
-    rule = (
-        F.when(free & F.col("last_class").isNotNull() & (F.col("_pos_last") > F.col("pos")), F.when(F.col("last_class") == "task_reminder", "task-reminder-keep-last").otherwise("metadata-keep-last"))
-        .when(free & F.col("notice_file").isNotNull() & (F.col("_shown") > F.col("pos")), "edited-text-file-supersession")
-        .when(free & F.col("inert_rule").isNotNull() & (F.col("_last") > F.col("pos")), F.col("inert_rule"))
-    )
-    return rows.withColumn("_last", last).withColumn("_pos_last", same).withColumn("drop_rule", rule).drop("_last", "_pos_last", "_shown")
-
-
-_NEEDED = ["file_id", "pos", "raw", "type", "uuid", "parent", "sidechain", "guarded", "preserved", "real_user", "turns_after", "results_after", "drop_rule"]
+def annotate(rows: list[dict]) -> None:
+    """Adds preserved, turns_after, results_after and drop_rule (12, 14 to 17 of the catalog) to
+    each of a session's records, all read from the originals."""
+    kept = {u for r in rows if r["boundary"] for u in r["keep"]}
+    tools: dict[str, str] = {}
+    newest: dict[str, int] = {}  # the last record of a class that only keeps its last
+    shown: dict[str, int] = {}  # the last record that shows a file whole: a notice, a read or a write
+    for at, r in enumerate(rows):
+        tools.update((u["id"], u["name"]) for u in r["uses"] or ())
+        if r["last_class"]:
+            newest[r["last_class"]] = at
+        if r["notice_file"]:
+            shown[r["notice_file"]] = at
+        if r["view_file"] and tools.get(r["view_id"]) == r["view_tool"]:
+            shown[r["view_file"]] = at
+    turns = results = 0
+    for at in reversed(range(len(rows))):
+        r = rows[at]
+        r["turns_after"], r["results_after"] = turns, results
+        turns, results = turns + r["prompt"], results + r["n_results"]
+        r["preserved"] = r["uuid"] is not None and r["uuid"] in kept
+        rule = None
+        if not r["guarded"] and not r["preserved"]:
+            if at < newest.get(r["last_class"], 0):
+                rule = "task-reminder-keep-last" if r["last_class"] == "task_reminder" else "metadata-keep-last"
+            elif at < shown.get(r["notice_file"], 0):
+                rule = "edited-text-file-supersession"
+            elif r["inert_rule"] and at < len(rows) - 1:
+                rule = r["inert_rule"]
+        r["drop_rule"] = rule
+
+
+def _compacted(rows: list[dict], parents: dict[str, set[str]]) -> pa.Table:
+    annotate(rows)
+    s = Session(rows[0]["file_id"], rows, parents)
+    lines, refused = compact_session(s)
+    return pa.table({
+        "file_id": [s.id] * len(rows), "pos": pa.array([r["pos"] for r in rows], pa.int32()), "line": pa.array([r["raw"] for r in rows] if refused else lines, pa.string()),
+        "rule": pa.array([None if refused else r.rule for r in s.records], pa.string()), "refused": pa.array([refused] * len(rows), pa.string()),
+        "bytes": pa.array([jp.utf8(r["raw"]) + 1 for r in rows], pa.int64()),
+    })
 
 
 def _rewrite(t: pa.Table) -> pa.Table:
@@ -101,31 +107,33 @@ def _rewrite(t: pa.Table) -> pa.Table:
     for r in rows:
         for p in r["fork_of"] or ():
             parents.setdefault(p, set()).add(r["uuid"])
-    s = Session(rows[0]["file_id"], rows, parents)
-    lines, refused = compact_session(s)
-    if refused:
-        lines = [r["raw"] for r in rows]
-    return pa.table({
-        "file_id": [s.id] * len(rows), "pos": pa.array([r["pos"] for r in rows], pa.int32()), "line": pa.array(lines, pa.string()),
-        "rule": pa.array([None if refused else r.rule for r in s.records], pa.string()), "refused": pa.array([refused] * len(rows), pa.string()),
-    })
+    return _compacted(rows, parents)
 
 
 def rewrite(records: DataFrame, copies: DataFrame | None = None) -> DataFrame:
-    """file_id, pos, line (null if the record goes), rule (what changed it) and refused (why
-    the whole file stays as it is, else null).  copies (file_id, uuid, parent): records that a
-    fork copied from its parent, whose archive the fork's has adopted."""
-    rows = annotate(records).select(*_NEEDED)
+    """file_id, pos, line (null if the record goes), rule (what changed it), refused (why the
+    whole file stays as it is, else null) and bytes (of the original, with its line end).
+    copies (file_id, uuid, parent): records that a fork copied from its parent, whose archive
+    the fork's has adopted."""
     if copies is None:
-        rows = rows.withColumn("fork_of", F.lit(None).cast("array<string>"))
+        rows = records.withColumn("fork_of", F.lit(None).cast("array<string>"))
     else:
-        rows = rows.join(copies.groupBy("file_id", "uuid").agg(F.collect_set(F.lower("parent")).alias("fork_of")), ["file_id", "uuid"], "left")
+        rows = records.join(copies.groupBy("file_id", "uuid").agg(F.collect_set(F.lower("parent")).alias("fork_of")), ["file_id", "uuid"], "left")
     return rows.groupBy("file_id").applyInArrow(_rewrite, OUT)
 
 
+def _compact(t: pa.Table) -> pa.Table:
+    rows = parsed(t)
+    return _compacted(rows, {}) if rows else pa.table({f.name: pa.array([], f.type) for f in _OUT})
+
+
+_OUT = pa.schema([("file_id", pa.string()), ("pos", pa.int32()), ("line", pa.string()), ("rule", pa.string()), ("refused", pa.string()), ("bytes", pa.int64())])
+
+
 def compact_lines(lines: DataFrame) -> DataFrame:
-    """The plan over a table of file_id, pos, line."""
-    return rewrite(from_lines(lines))
+    """The plan over a table of file_id, pos, line: parsed and rewritten in one task for each
+    session, without an archive."""
+    return lines.select("file_id", "pos", "line").groupBy("file_id").applyInArrow(_compact, OUT)
 
 
 def violations(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -139,10 +147,9 @@ def violations(before: DataFrame, after: DataFrame) -> DataFrame:
     return parents.unionByName(tails).distinct()
 
 
-def economics(result: DataFrame, records: DataFrame) -> DataFrame:
-    """Bytes before and after, records removed and edited, for each file."""
-    both = result.join(records.select("file_id", "pos", "raw"), ["file_id", "pos"])
-    return both.groupBy("file_id").agg(
-        F.sum(F.octet_length("raw") + 1).cast("long").alias("bytes_before"), F.sum(F.coalesce(F.octet_length("line") + 1, F.lit(0))).cast("long").alias("bytes_after"),
+def economics(result: DataFrame) -> DataFrame:
+    """Bytes before and after, records removed and edited, for each file of a rewrite()."""
+    return result.groupBy("file_id").agg(
+        F.sum("bytes").cast("long").alias("bytes_before"), F.sum(F.coalesce(F.octet_length("line") + 1, F.lit(0))).cast("long").alias("bytes_after"),
         F.count_if(F.col("line").isNull()).alias("removed"), F.count_if(F.col("line").isNotNull() & F.col("rule").isNotNull()).alias("edited"), F.max("refused").alias("refused"),
     )

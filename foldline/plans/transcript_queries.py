@@ -35,8 +35,7 @@ def compact_sessions(spark, d):
 
 @query()
 def compact_economics(spark, d):
-    records = from_lines(session_lines(spark, d))
-    return compaction.economics(compaction.rewrite(records), records)
+    return compaction.economics(compaction.compact_lines(session_lines(spark, d)))
 
 
 def _mirror(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -134,10 +134,14 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(_decode, SPARK_SCHEMA)
 
 
-def _join(t: pa.Table) -> pa.Table:
+def parsed(t: pa.Table) -> list[dict]:
+    """The rows of one file (file_id, pos, line), none if it is refused."""
     t = t.sort_by("pos")
-    data = "\n".join(t.column("line").to_pylist()).encode()
-    return pa.Table.from_pylist(rows(t.column("file_id")[0].as_py(), data + b"\n"), SCHEMA)
+    return rows(t.column("file_id")[0].as_py(), "\n".join(t.column("line").to_pylist()).encode() + b"\n")
+
+
+def _join(t: pa.Table) -> pa.Table:
+    return pa.Table.from_pylist(parsed(t), SCHEMA)
 
 
 def from_lines(lines: DataFrame) -> DataFrame:

@@ -212,7 +212,7 @@ def test_scan_archive_compact_restore(spark, tmp_path):
     assert [r.line for r in back if r.file_id == "aaaa-session"] == a.lines and [r.line for r in back if r.file_id == "bbbb-session"] == b.lines
     lines = live.select("file_id", "pos", live.raw.alias("line"))
     assert compaction.violations(lines, result).count() == 0
-    e = {r.file_id: r for r in compaction.economics(result, live).collect()}
+    e = {r.file_id: r for r in compaction.economics(result).collect()}
     assert e["aaaa-session"].bytes_after < e["aaaa-session"].bytes_before / 2
     hits = verbs.retrieve(archive, "aaaa", grep="LINE 3", mode="grep").collect()
     assert len(hits) == 200 and {h.line for h in hits} == {"line 3"}
