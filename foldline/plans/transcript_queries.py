@@ -17,6 +17,12 @@ from foldline.plans.catalog import query, read
 from foldline.sources.transcripts import from_lines
 
 
+#: Each line of session_lines(), and its bytes b.
+LINES = """SELECT conv_id, turn, line, octet_length(encode(line)) AS b FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '{"type":"user",' || id || '"message":{"role":"user","content":' || to_json(text) || '}}'
+ ELSE '{"type":"assistant",' || id || '"message":{"role":"' || role || '","content":[{"type":"text","text":' || to_json(text) || '}]}}' END AS line
+FROM (SELECT *, '"uuid":"' || conv_id || '-' || turn || '",' || CASE WHEN turn > 0 THEN '"parentUuid":"' || conv_id || '-' || (turn - 1) || '",' ELSE '' END || '"sessionId":"' || conv_id || '",' AS id FROM conversations))"""
+
+
 def session_lines(spark: SparkSession, d: str) -> DataFrame:
     """file_id, pos, line: conversations as transcripts."""
     uuid = lambda t: F.concat(F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
@@ -28,12 +34,13 @@ def session_lines(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("file_id"), F.col("turn").cast("int").alias("pos"), F.when(F.col("role") == "user", asks).otherwise(says).alias("line"))
 
 
-@query("""SELECT CAST(conv_id AS VARCHAR) AS file_id, CAST(turn AS INT) AS pos, CAST(NULL AS VARCHAR) AS refused FROM conversations""")
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS file_id, CAST(turn AS INT) AS pos, md5(line) AS md5, CAST(NULL AS VARCHAR) AS rule, CAST(NULL AS VARCHAR) AS refused FROM ({LINES})")
 def compact_sessions(spark, d):
-    return compaction.compact_lines(session_lines(spark, d)).select("file_id", "pos", "refused")
+    """Sessions of words only, of which no rule may touch a byte; rule_queries has the others."""
+    return compaction.compact_lines(session_lines(spark, d)).select("file_id", "pos", F.md5(F.col("line").cast("binary")).alias("md5"), "rule", "refused")
 
 
-@query()
+@query(f"""SELECT CAST(conv_id AS VARCHAR) AS file_id, CAST(sum(b + 1) AS BIGINT) AS bytes_before, CAST(sum(b + 1) AS BIGINT) AS bytes_after, CAST(0 AS BIGINT) AS removed, CAST(0 AS BIGINT) AS edited, CAST(NULL AS VARCHAR) AS refused FROM ({LINES}) GROUP BY conv_id""")
 def compact_economics(spark, d):
     return compaction.economics(compaction.compact_lines(session_lines(spark, d)))
 
@@ -97,9 +104,7 @@ def previews(spark, d):
     return read(spark, d, "documents").select("doc_id", "text").mapInArrow(_previews, "doc_id long, preview string, minified_chars long")
 
 
-@query("""SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS uuid, CAST(octet_length(encode(CASE WHEN role = 'user' THEN '{"type":"user",' || id || '"message":{"role":"user","content":' || to_json(text) || '}}'
- ELSE '{"type":"assistant",' || id || '"message":{"role":"' || role || '","content":[{"type":"text","text":' || to_json(text) || '}]}}' END)) AS BIGINT) AS bytes
-FROM (SELECT *, '"uuid":"' || conv_id || '-' || turn || '",' || CASE WHEN turn > 0 THEN '"parentUuid":"' || conv_id || '-' || (turn - 1) || '",' ELSE '' END || '"sessionId":"' || conv_id || '",' AS id FROM conversations)""")
+@query(f"SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS uuid, CAST(b AS BIGINT) AS bytes FROM ({LINES})")
 def record_sizes(spark, d):
     return housekeeping.record_sizes(session_lines(spark, d)).select("uuid", "bytes")
 
@@ -145,7 +150,12 @@ def baseline_choice(spark, d):
     return metrics.baseline(read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("bytes")).withColumns(flags)).select("doc_id", "baseline", "reason")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, name, s, row_number() OVER (PARTITION BY user_id ORDER BY s, name) AS k FROM (SELECT user_id, floor(epoch(ts)) AS s,
+ CASE event_type WHEN 'view' THEN 'Stop' WHEN 'click' THEN 'UserPromptSubmit' WHEN 'signup' THEN 'SessionStart' WHEN 'purchase' THEN 'SessionEnd' WHEN 'error' THEN 'PreCompact' END AS name FROM events)),
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS DOUBLE) AS s, CAST(NULL AS DOUBLE) AS last, FALSE AS ended, FALSE AS woke, CAST(NULL AS VARCHAR) AS action FROM e WHERE k = 1
+ UNION ALL SELECT user_id, k, name, s, CASE WHEN skip THEN last ELSE s END, CASE WHEN skip THEN ended ELSE name = 'SessionEnd' END, woke, CASE WHEN skip THEN 'skip' ELSE 'compact' END
+ FROM (SELECT *, name = 'Stop' AND NOT woke AND coalesce(s - last < 120, FALSE) AS skip FROM (SELECT e.user_id, e.k, e.name, e.s, r.last, r.ended, r.ended AND e.name IN ('UserPromptSubmit', 'Stop', 'SessionStart') AS woke FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)))
+SELECT CAST(user_id AS VARCHAR) AS session_id, name AS hook_event_name, CAST(s AS DOUBLE) AS "at", action, woke FROM r WHERE k > 0""")
 def route_events(spark, d):
     """Events routed one by one per user, as the stream does it, on a table."""
     from foldline.streaming import events
