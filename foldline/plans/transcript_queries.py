@@ -93,15 +93,45 @@ def shell_reads(spark, d):
     return o.select("o_orderkey", command.alias("command")).mapInArrow(_targets, "o_orderkey long, path string, lo int, hi int")
 
 
+#: Calls by number modulo their count: tool, argument and output, KEY being the order's key; then
+#: what the preview says, and the shortened output where it is not the output itself.
+CALLS = [
+    ("Bash", "make", "<persisted-output>\nFull output saved to: /tmp/KEY.txt\nmore", "output persisted to /tmp/KEY.txt", None),
+    ("Bash", "pytest -q", "..\nFAILED tKEY::a - x\nFAILED tKEY::b - x\n=== 2 failed, KEY passed in 3s ===", "RESULT: 2 failed, KEY passed in 3s | first failures: tKEY::a, tKEY::b", None),
+    ("Bash", "make", "ok\nerror: no KEY", "CONTAINS 'error:' :: error: no KEY", None),
+    ("Edit", "src/KEY.py", "The file has been updated", "applied to src/KEY.py", None),
+    ("Read", "a.py", "1\tdef fKEY():\n2\t  {\n3\tx", "3 lines :: def fKEY(): / x", None),
+    ("Grep", "x", '[ { "b" :  KEY, "a" : 2 }, { } ]', "JSON array, 2 item(s) of objects with keys [a, b]", '[{"b":KEY,"a":2},{}]'),
+    ("Grep", "x", '{ "z" : [ 1, 2, 3 ], "key" : "KEY" }', "JSON object, keys [key, z]", '{"z":[1,2,3],"key":"KEY"}'),
+    ("Bash", "git status", "M KEY\nM b", "2 status line(s) :: M KEY / M b", None),
+    ("Bash", "cat a b", "== one ==\nA KEY\n== two ==\n\nB", "2 sections | one: A KEY | two: B", None),
+    ("Bash", "make | tail -3", "a\nb\nc\nKEY", "tail :: b / c / KEY", None),
+    ("Bash", "make", " \n", "(no output)", None),
+    ("Grep", "x", "KEY\n\nb\nc", "KEY / b", None),
+    ("Grep", "x", "diff --git a b\n--- a\n+++ b\n@@ -1,5 +1,5 @@\n" + " one line that is the same\n" * 9 + "-KEY\n+y", "diff --git a b / --- a", "diff --git a b\n--- a\n+++ b\n@@ -1,5 +1,5 @@\n  [...9 unchanged lines...]\n-KEY\n+y"),
+]
+
+
+def _calls_sql() -> str:
+    def cases(i: int) -> str:
+        said = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+        return "replace(CASE o_orderkey % " + str(len(CALLS)) + "".join(f" WHEN {n} THEN {said(c[i] if c[i] is not None else c[2])}" for n, c in enumerate(CALLS)) + " END, 'KEY', CAST(o_orderkey AS VARCHAR))"
+
+    return f"SELECT o_orderkey, {cases(3)} AS preview, {cases(4)} AS short FROM orders"
+
+
 def _previews(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column("text").to_pylist()
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([preview("Bash", "", t or "") for t in texts], pa.string()), pa.array([len(minify(t or "")) for t in texts], pa.int64())], names=["doc_id", "preview", "minified_chars"])
+        cols = [b.column(c).to_pylist() for c in ("tool", "arg", "text")]
+        yield pa.RecordBatch.from_arrays([b.column("o_orderkey"), pa.array([preview(*x) for x in zip(*cols, strict=True)], pa.string()), pa.array([minify(x) for x in cols[2]], pa.string())], names=["o_orderkey", "preview", "short"])
 
 
-@query()
+@query(_calls_sql())
 def previews(spark, d):
-    return read(spark, d, "documents").select("doc_id", "text").mapInArrow(_previews, "doc_id long, preview string, minified_chars long")
+    keys = read(spark, d, "orders").select("o_orderkey")
+    call = F.get(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("tool", "arg", "text"), c, strict=False)]) for c in CALLS]), (F.col("o_orderkey") % len(CALLS)).cast("int"))
+    own = lambda c: F.replace(call[c], F.lit("KEY"), F.col("o_orderkey").cast("string")).alias(c)
+    return keys.select("o_orderkey", own("tool"), own("arg"), own("text")).mapInArrow(_previews, "o_orderkey long, preview string, short string")
 
 
 @query(f"SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS uuid, CAST(b AS BIGINT) AS bytes FROM ({LINES})")
