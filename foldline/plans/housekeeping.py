@@ -24,6 +24,20 @@ def load_stamp(lines: DataFrame) -> DataFrame:
     return lines.withColumn("uuid", uuid).filter("uuid is not null").groupBy("file_id", "uuid").agg(F.max_by(F.octet_length("line"), "pos").cast("long").alias("bytes"))
 
 
+STAMPS = "file_id string, uuid string, bytes long, at timestamp"
+
+
+def write_stamps(lines: DataFrame, path: str) -> None:
+    """Appends the load stamps of sessions (file_id, pos, line), all with one time."""
+    load_stamp(lines).withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def newest_stamps(stamps: DataFrame) -> DataFrame:
+    """Of STAMPS rows those of each session's newest stamp."""
+    newest = stamps.groupBy("file_id").agg(F.max("at").alias("at"))
+    return stamps.join(newest, ["file_id", "at"]).select("file_id", "uuid", "bytes")
+
+
 def refs_dump(texts: DataFrame) -> DataFrame:
     """One text for each ref: its texts joined by newlines in archive order."""
     rows = F.array_sort(F.collect_list(F.struct("seq", "n", "text")))

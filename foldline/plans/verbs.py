@@ -13,21 +13,24 @@ from pyspark.sql import functions as F
 from foldline.functions import jsonpatch as jp
 from foldline.plans import compaction, housekeeping, session
 from foldline.plans import wording as wd
-from foldline.sources import transcripts
+from foldline.sources import jsonl, transcripts
 from foldline.sources.scratch import Scratch
 from foldline.sources.transcripts import blocks
 
 EXTENSIONS = {"image/png": ".png", "image/jpeg": ".jpg", "image/webp": ".webp", "image/gif": ".gif", "application/pdf": ".pdf"}
 
 
-def compact(spark: SparkSession, path: str, mirror_path: str, out_path: str, frozen: DataFrame | None = None) -> DataFrame:
+def compact(spark: SparkSession, path: str, mirror_path: str, out_path: str, frozen: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """Archive, then rewrite all transcripts under a folder.  The archive's append is done
     before anything is rewritten; frozen sessions (file_id) are only archived.  Sessions with
     rewritten records whose archive is lost are left alone: a fresh archive would hide the
     loss.  A fork's archive adopts its parents' records before its records name it (if it had
-    an archive, restore it with merged=True).  The result (file_id, pos, line, rule, refused) is written to out_path."""
+    an archive, restore it with merged=True).  only: the sessions (file_id) to look at, all if
+    there is none.  The result (file_id, pos, line, rule, refused, bytes) is written to out_path."""
     cut = Scratch(spark).cut
     records = transcripts.scan(spark, path)
+    if only is not None:
+        records = records.join(only.select("file_id").distinct(), "file_id", "left_semi")
     mirror = read_mirror(spark, mirror_path)
     marked = cut(housekeeping.marks(records))
     records = records.join(cut(housekeeping.left_alone(marked, mirror)), "file_id", "left_anti")
@@ -40,13 +43,65 @@ def compact(spark: SparkSession, path: str, mirror_path: str, out_path: str, fro
     return spark.read.parquet(out_path)
 
 
-def read_mirror(spark: SparkSession, path: str) -> DataFrame:
-    """The archive, empty if there is none yet."""
+def compact_in_place(spark: SparkSession, path: str, mirror_path: str, out_path: str, frozen: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """compact(), and every transcript that it changed is replaced, unless it has grown since
+    it was listed (its next pass will see what was added).  file_id, path, state, bytes."""
+    cut = Scratch(spark).cut
+    where = cut(jsonl.files(spark, path))  # before anything is read
+    result = compact(spark, path, mirror_path, out_path, frozen, only)
+    changed = result.groupBy("file_id").agg(F.bool_or(F.col("rule").isNotNull()).alias("c")).filter("c").select("file_id")
+    return cut(jsonl.swap(result, where.join(changed, "file_id", "left_semi")))
+
+
+FROZEN = "file_id string, frozen boolean, at timestamp"
+
+
+def freeze(spark: SparkSession, state_path: str, names: list[str], frozen: bool = True) -> None:
+    """Marks sessions as frozen (archived, never rewritten), or as free again."""
+    rows = spark.createDataFrame([(n, frozen) for n in names], "file_id string, frozen boolean")
+    rows.withColumn("at", F.current_timestamp()).write.mode("append").parquet(state_path)
+
+
+def frozen_sessions(spark: SparkSession, state_path: str) -> DataFrame:
+    """file_id of the sessions whose last mark is a frozen one."""
+    return _read(spark, state_path, FROZEN).groupBy("file_id").agg(F.max_by("frozen", "at").alias("f")).filter("f").select("file_id")
+
+
+def restore_on(spark: SparkSession, path: str, mirror_path: str, state_path: str, names: list[str], merged: bool = False) -> DataFrame:
+    """Puts the originals of sessions back in their files and freezes those sessions.  Sessions
+    whose archive lacks a live record, and files that grow meanwhile, stay as they are and
+    are not frozen.  file_id, path, state, bytes."""
+    cut = Scratch(spark).cut
+    wanted = spark.createDataFrame([(n,) for n in names], "file_id string")
+    where = cut(jsonl.files(spark, path).join(wanted, "file_id", "left_semi"))
+    live = transcripts.scan(spark, path).join(wanted, "file_id", "left_semi")
+    mirror = read_mirror(spark, mirror_path).join(wanted, "file_id", "left_semi")
+    # What came since the last pass is archived first.
+    compaction.missing_originals(live, mirror).write.mode("append").parquet(mirror_path)
+    mirror = read_mirror(spark, mirror_path).join(wanted, "file_id", "left_semi")
+    report = cut(jsonl.swap(restored(mirror, live, merged), where))
+    done = [r.file_id for r in report.filter("state = 'written'").select("file_id").collect()]  # of the names given
+    if done:
+        freeze(spark, state_path, done)
+    return report
+
+
+def restore_off(spark: SparkSession, state_path: str, names: list[str]) -> None:
+    """Lets later passes rewrite the sessions again."""
+    freeze(spark, state_path, names, False)
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.read.schema(compaction.MIRROR).parquet(path)
-    return spark.createDataFrame([], compaction.MIRROR)
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
+def read_mirror(spark: SparkSession, path: str) -> DataFrame:
+    """The archive, empty if there is none yet."""
+    return _read(spark, path, compaction.MIRROR)
 
 
 def resolve(sessions: DataFrame, name: str) -> DataFrame:

@@ -150,8 +150,10 @@ def from_lines(lines: DataFrame) -> DataFrame:
 
 
 def tolerant(spark: SparkSession, path: str) -> DataFrame:
-    """file_id and line of every line that holds a JSON object, for logs with torn lines."""
+    """file_id, line and node (VARIANT, null for a torn line) of every line that is not blank,
+    for logs that may hold lines cut off by a crash."""
     text = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").text(path)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl$", 1)
     line = F.regexp_replace("value", r"^\s+|\s+$", "")
-    return text.select(name.alias("file_id"), line.alias("line")).filter(F.col("line").startswith("{") & F.try_parse_json("line").isNotNull())
+    node = F.when(F.col("line").startswith("{"), F.try_parse_json("line"))
+    return text.select(name.alias("file_id"), line.alias("line")).filter("line <> ''").withColumn("node", node)

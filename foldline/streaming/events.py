@@ -77,6 +77,41 @@ def archive_into(mirror_path: str):
     return run
 
 
+def run_passes(path: str, mirror_path: str, out_path: str, stamps_path: str, state_path: str, swept=None):
+    """A foreachBatch function over routed actions: stamps sessions that start before anything
+    is rewritten, runs one pass over the sessions to compact (at a start, an end or a wake
+    also over the agents' transcripts in the session's own folder), stamps sessions that end
+    after it, and at such a boundary hands swept (if given) the archives to delete.  Sessions
+    of one batch are one pass, so no session has two writers."""
+
+    def run(batch: DataFrame, _: int) -> None:
+        from foldline.plans import housekeeping, verbs
+        from foldline.sources import jsonl
+
+        spark = batch.sparkSession
+        todo = batch.filter("action = 'compact'").groupBy(F.col("session_id").alias("file_id")).agg(
+            F.bool_or(F.col("hook_event_name") == "SessionStart").alias("starts"), F.bool_or(F.col("hook_event_name") == "SessionEnd").alias("ends"), F.bool_or("woke").alias("wakes"),
+        ).cache()
+        if not todo.limit(1).count():
+            return
+
+        def stamp(which: str) -> None:
+            lines = transcripts.scan(spark, path).join(todo.filter(which), "file_id", "left_semi").select("file_id", "pos", F.col("raw").alias("line"))
+            housekeeping.write_stamps(lines, stamps_path)
+
+        stamp("starts")
+        boundary = todo.filter("starts or ends or wakes")
+        agents = jsonl.files(spark, path).select(F.col("file_id").alias("agent"), F.explode(F.split("path", "/")).alias("file_id")).filter("file_id <> concat(agent, '.jsonl')")
+        agents = agents.join(boundary, "file_id", "left_semi").select(F.col("agent").alias("file_id"))
+        verbs.compact_in_place(spark, path, mirror_path, out_path, verbs.frozen_sessions(spark, state_path), todo.select("file_id").unionByName(agents).distinct())
+        stamp("ends")
+        if swept is not None and boundary.limit(1).count():
+            swept(jsonl.files(spark, path))
+        todo.unpersist()
+
+    return run
+
+
 def settled(records: DataFrame) -> DataFrame:
     """Records that a pass may touch: all but each file's last, which waits for the next."""
     last = records.groupBy("file_id").agg(F.max("pos").alias("_last"))
