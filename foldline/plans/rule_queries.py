@@ -243,3 +243,86 @@ def refused_sessions(spark, d):
     stop = {"type": "system", "subtype": "stop_hook_summary", "hasOutput": F.lit(False)}
     source = user("answer") | {"sourceToolAssistantUUID": F.when(F.col("conv") % 2 == 1, _uuid(F.col("t") * 3 + 1))}
     return compaction.compact_lines(sessions(units(spark, d), user("go"), stop, source)).select("file_id", "refused").distinct()
+
+
+def _written(spark, d, rows: DataFrame, *slots: dict):
+    """Sessions as files in the shared folder; where they, their archive and the result are."""
+    import uuid
+
+    from foldline.sources import jsonl
+    from foldline.sources.scratch import Scratch
+
+    cut = Scratch(spark).cut
+    top = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    cut(jsonl.append(sessions(rows, *slots), f"{top}/in"))
+    return cut, top
+
+
+@query(f"""SELECT file_id, CASE WHEN n > 1 THEN 'written' END AS state, CAST(2 * n + 1 AS BIGINT) AS before, CAST(n + 2 AS BIGINT) AS rewritten, CAST(2 * n + 1 AS BIGINT) AS restored FROM ({UNITS}) WHERE t = 0""")
+def write_back(spark, d):
+    """Lines of each file at first, after a pass that replaces files, and after the originals
+    are put back (which freezes the session: the pass after that changes nothing)."""
+    from foldline.plans import verbs
+
+    cut, top = _written(spark, d, units(spark, d), user(F.col("text")), bare("last-prompt", lastPrompt=F.col("text")))
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl$", 1).alias("file_id")
+    count = lambda c: cut(spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.jsonl").text(f"{top}/in").groupBy(name).agg(F.count(F.lit(1)).alias(c)))
+    places = [f"{top}/in", f"{top}/mirror", f"{top}/out"]
+    before = count("before")
+    state = verbs.compact_in_place(spark, *places).select("file_id", "state")
+    rewritten = count("rewritten")
+    names = [r.file_id for r in before.select("file_id").collect()]
+    verbs.restore_on(spark, places[0], places[1], f"{top}/state", names)
+    verbs.compact_in_place(spark, *places, frozen=verbs.frozen_sessions(spark, f"{top}/state"))
+    return before.join(state, "file_id", "left").join(rewritten, "file_id").join(count("restored"), "file_id").select("file_id", "state", "before", "rewritten", "restored")
+
+
+@query(f"""WITH b AS (SELECT 'user' AS role, 'text' AS kind, 'go' AS said, t FROM ({made('3 + conv % 3')}) UNION ALL SELECT 'assistant', 'tool_use', '{{"command":"make ' || t || '"}}', t FROM ({made('3 + conv % 3')})
+UNION ALL SELECT 'user', 'tool_result', CASE WHEN t % 3 = 2 THEN 'ok' ELSE 't' || t || repeat('y', 3000) END, t FROM ({made('3 + conv % 3')}) UNION ALL SELECT 'assistant', 'text', 'done', t FROM ({made('3 + conv % 3')}) WHERE t = n - 1)
+SELECT role, kind, count(*) AS blocks, CAST(sum(length(said)) AS BIGINT) AS bytes, CAST(sum(ceil(length(said) / 4)) AS BIGINT) AS tokens FROM b GROUP BY role, kind""")
+def block_census(spark, d):
+    from foldline.plans import payload
+
+    return payload.census(_turns(spark, d, F.concat(F.lit("make "), F.col("t").cast("string"))))
+
+
+@query(f"""SELECT file_id, string_agg(said, chr(10) ORDER BY pos) AS payload FROM (SELECT file_id, t AS pos, text AS said FROM ({UNITS}) WHERE t <> n // 2 AND (t > n // 2 OR t = 0) UNION ALL SELECT file_id, n, 'done' FROM ({UNITS}) WHERE t = n - 1) GROUP BY file_id""")
+def model_payload(spark, d):
+    """What a session that was cut in its middle, but for its first record, shows."""
+    from foldline.plans import payload
+
+    middle = F.col("t") == F.floor(F.col("n") / 2)
+    slot = {"type": F.when(middle, "system").otherwise("user"), "subtype": F.when(middle, "compact_boundary"), "compactMetadata": F.when(middle, obj(preservedMessages=obj(allUuids=F.array(_uuid(F.lit(0)))))), "message": F.when(~middle, message("user", F.col("text")))}
+    return payload.payload(sessions(units(spark, d), slot))
+
+
+@query(f"""SELECT file_id, CASE WHEN conv % 2 = 1 THEN 'agent' ELSE 'main' END AS kind, CASE WHEN conv % 3 = 0 THEN CASE WHEN conv % 5 = 0 THEN 'both' ELSE 'own' END WHEN conv % 5 = 0 THEN 'other' ELSE 'raw' END AS tool, conv % 7 = 0 AS app_compacted FROM ({made('2')}) WHERE t = 0""")
+def file_kinds(spark, d):
+    from foldline.plans import payload
+
+    conv = F.col("conv")
+    slot = {"type": "user", "subtype": F.when(conv % 7 == 0, "compact_boundary"), "isSidechain": F.when(conv % 2 == 1, F.lit(True)), wd.TAG: F.when(conv % 3 == 0, obj(v="1", rule="x")), "message": message("user", F.when(conv % 5 == 0, "trimmed by other").otherwise("plain"))}
+    lines = sessions(units(spark, d, F.lit(2)), slot).filter("pos < 2")
+    return payload.file_kinds(lines, ("trimmed by other",))
+
+
+@query(f"""SELECT file_id, 'foldline · ~' || (80 + conv % 10) || 'k tokens reclaimable · ' || CASE WHEN conv % 2 = 0 THEN 50 ELSE 75 END || '% of context · /exit + resume' AS text FROM ({made('1')})""")
+def status_line(spark, d):
+    from foldline.plans import payload
+
+    rows = units(spark, d, F.lit(1)).select("file_id", ((80 + F.col("conv") % 10) * 1000 + 100).cast("long").alias("tokens"), F.lit(1000).cast("long").alias("loaded_bytes"), F.when(F.col("conv") % 2 == 0, 500).otherwise(750).cast("long").alias("removed_bytes"))
+    quiet = rows.select(F.concat(F.lit("q"), "file_id").alias("file_id"), F.lit(None).cast("long").alias("tokens"), "loaded_bytes", "removed_bytes")
+    return payload.status_text(rows.unionByName(quiet))
+
+
+@query("""WITH f AS (SELECT doc_id, n_chars, CASE WHEN lang = 'en' THEN 'main' ELSE 'agent' END AS kind, doc_id % 2 = 0 AS m, doc_id % 5 = 0 AS o, doc_id % 3 = 0 AS c, doc_id % 7 = 0 AS b FROM documents),
+g AS (SELECT kind, n_chars, CASE WHEN NOT m AND NOT o THEN 'self' WHEN m AND NOT o AND c THEN 'archive' WHEN o AND b THEN 'backup' END AS choice, o FROM f),
+h AS (SELECT kind, n_chars, choice, CASE WHEN choice IS NULL THEN CASE WHEN o THEN 'no clean backup' ELSE 'archive does not cover it' END WHEN n_chars < 1024 THEN 'too small' END AS reason FROM g),
+v AS (SELECT 'kind' AS by_, kind AS value, n_chars FROM h UNION ALL SELECT 'baseline', choice, n_chars FROM h WHERE reason IS NULL UNION ALL SELECT 'reason', reason, n_chars FROM h WHERE reason IS NOT NULL)
+SELECT by_ AS "by", value, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes, CAST(sum(n_chars // 4) AS BIGINT) AS tokens FROM v GROUP BY by_, value""")
+def decision_summary(spark, d):
+    from foldline.plans import metrics, payload
+
+    flags = {n: F.col("doc_id") % k == 0 for n, k in (("marked", 2), ("other_tool", 5), ("covered", 3), ("backup", 7))}
+    rows = read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("bytes"), F.expr("n_chars div 4").alias("tokens"), F.when(F.col("lang") == "en", "main").otherwise("agent").alias("kind")).withColumns(flags)
+    return payload.decisions(metrics.baseline(rows))
