@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foldline.llm import text as tx
-from foldline.llm.shared import table
+from foldline.llm.shared import drop, table
 
 U = np.uint64
 MARK = 0x2581
@@ -278,16 +278,24 @@ def _expect(names: list[str], langs: list[str], prob: np.ndarray):
 
 
 def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 400, rounds: int = 3, vocabulary: str | None = None) -> dict:
-    """A model from labelled rows: ``per_language`` rows of each language at most (those of
-    least hash of id), whole texts.  Only sums of vocabulary size reach the driver."""
+    """A model from labelled rows: ``per_language`` ids of each language at most (those of
+    least hash), one whole text of each (of different texts that of least hash).  Only sums of
+    vocabulary size reach the driver.  Ids of a hash beyond some four times that many are left
+    out before any are ordered, so what one task orders does not grow with the rows."""
     spark = rows.sparkSession
     names = pieces(vocabulary)
     r = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    pick = r.select("id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).filter(F.col("n") <= per_language).select("id", "lang").distinct()
-    pick = table(pick, "sample-ids")
+    ids = table(r.select("id", "lang", F.xxhash64("id").alias("h")).groupBy("id", "lang", "h").agg(F.count(F.lit(1)).alias("rows")), "ids")
+    share = ids.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count(F.lit(1))).alias("share"))
+    below = F.when(F.col("share") >= 1, F.lit(2**63 - 1)).otherwise((F.col("share") * 2.0**64 - 2.0**63).cast("long"))
+    near = ids.join(share, "lang").filter(F.col("h") <= below)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    pick = table(near.withColumn("n", place).filter(F.col("n") <= per_language).select("id", "lang"), "sample-ids")
+    drop(ids)
     if pick.count() <= 200_000:
         pick = F.broadcast(pick)
-    sample = table(r.join(pick, ["id", "lang"], "left_semi").select("lang", "text").repartition(16), "sample")
+    chosen = r.join(pick, ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = table(chosen.select("lang", "text").repartition(16), "sample")
     langs = sorted(x[0] for x in sample.select("lang").distinct().collect())
     prob = np.full((len(names) + 1, len(langs)), 1.0 / (len(names) + 1))
     for _ in range(rounds if langs else 0):
