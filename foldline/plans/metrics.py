@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from foldline.functions.columns import percent_saved
 
@@ -13,6 +18,26 @@ def tokens(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4).cast("long")
 
 
+@lru_cache(4)
+def _encoding(vocabulary: str, pattern: str):
+    import tiktoken
+
+    with open(vocabulary, "rb") as f:
+        ranks = {base64.b64decode(a): int(n) for a, n in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def bpe_tokens(vocabulary: str, pattern: str):
+    """A function of a text column: its tokens by a byte-pair vocabulary of ranks (a file that
+    every executor has) and the pattern that splits texts into words; null for null."""
+
+    @F.pandas_udf(LongType())
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(_encoding(vocabulary, pattern).encode_ordinary(t)), na_action="ignore").astype("Int64")
+
+    return count
+
+
 def savings(files: DataFrame, by: Column | None = None, before: str = "before", after: str = "after") -> DataFrame:
     """Files, sums and percent saved for each band (all files without one)."""
     g = files.withColumn("band", by if by is not None else F.lit("all")).groupBy("band")

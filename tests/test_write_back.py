@@ -1,9 +1,11 @@
 """Transcripts replaced in place: atomic swap, frozen sessions, stamps, passes of a stream."""
 
+import base64
+
 import pytest
 from transcript import Builder, readable
 
-from foldline.plans import housekeeping, payload, verbs
+from foldline.plans import housekeeping, metrics, payload, verbs
 from foldline.sources import jsonl, transcripts
 from foldline.streaming import events
 
@@ -81,6 +83,14 @@ def test_torn_lines_are_kept_without_a_node(spark, tmp_path):
     assert got == [("t", "[1]", True), ("t", '{"a":1}', False), ("t", '{"b"', True)]
 
 
+def test_tokens_by_a_vocabulary(spark, tmp_path):
+    pytest.importorskip("tiktoken")
+    ranks = [bytes([i]) for i in range(256)] + [b"ab", b"abc", b" a"]
+    (tmp_path / "v").write_bytes(b"".join(base64.b64encode(x) + b" %d\n" % i for i, x in enumerate(ranks)))
+    df = spark.createDataFrame([("abc abc ab",), ("",), (None,), ("é",)], "t string")
+    assert [r[0] for r in df.select(metrics.bpe_tokens(str(tmp_path / "v"), r" ?\w+")("t")).collect()] == [5, 0, None, 2]  # abc, " ", abc, " ", ab
+
+
 def test_corpus_lines_and_names(spark):
     lines = spark.createDataFrame([("f", 0, '{"foldline":{"v":"1","mirrorOf":"x"}}'), ("f", 1, '{"foldline":{"v":1},"type":"user"}'), ("f", 2, '{"torn')], "file_id string, pos int, line string")
     assert [r.pos for r in payload.corpus_lines(lines).orderBy("pos").collect()] == [1, 2]
