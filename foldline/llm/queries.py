@@ -166,4 +166,12 @@ n AS (SELECT id, count(*) AS n FROM item GROUP BY id),
 hit AS (SELECT doc.id AS doc_id, item.id AS item_id, count(*) AS c FROM doc JOIN item USING (m, g) GROUP BY doc.id, item.id)
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item, CAST(c AS BIGINT) AS n_shared FROM hit JOIN n ON n.id = item_id WHERE 100 * c >= 80 * n""",
     "op6_mixing": _mix_sql(),
+    "op3_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1 AS INT), 1) for i in range(32)], '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM top AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM d""",
 }
