@@ -2,18 +2,21 @@
 
 An item is contaminated by a document if the document has at least ``percent`` of the
 item's distinct shingles (``k`` words, A-Z in lower case; an item of fewer words is one
-shingle of all its words).  Items are partitioned by size (powers of two).  A partition's
-sketch is the MinHash of its items with as many least hashes as its largest size needs:
-with n shingles and m that may be missing, the 2 m + 2 least hashes hold at least m + 2
-shared ones, so a document below that count cannot contain the item.  No containment is
-missed by chance.  Candidates are verified on the whole shingle set, word for word.
+shingle of all its words).  Items are partitioned by size (powers of two).  An item's sketch
+is its MinHash with as many least hashes as the partition's largest size needs: with n
+shingles and m that may be missing, the 2 m + 2 least hashes hold at least m + 2 shared
+ones, so a document below that count cannot contain the item.  A document has a sketch for
+each partition: its shingles of hash up to the greatest in the partition's sketches, so that
+short items are not lost in a long document.  No containment is missed by chance.
+Candidates are verified on the whole shingle set, word for word.
 
 The sketches of a block of items are held by every task; a block has at most
 ``block_bytes`` of text (measured first).  A larger benchmark takes several blocks, one
 pass over the documents each.
 
 Defined results: null or empty items match nothing; null or empty documents contain
-nothing.  Repeated items and documents are judged row by row.
+nothing.  Repeated items and documents are judged row by row.  An empty table on either side
+matches nothing.  Other columns of the inputs are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], k: int, percent: int):
         self.k, self.ids, self.grams, self.need, self.least = k, [], [], [], []
-        holders: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        holders: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             words = tx.Words(pa.array([text or ""]), lower=True)
             n = len(words.hash)
@@ -58,23 +61,27 @@ class Index:
             self.need.append(wanted)
             self.least.append(max(1, len(sketch) - (size - wanted)))
             for h in sketch:
-                holders[m][h].append(at)
-        self.sketch = {}
-        for m, by_hash in holders.items():
+                holders[m, top][h].append(at)
+        self.partitions = []
+        for (m, _), by_hash in sorted(holders.items()):
             keys = np.array(sorted(by_hash), U)
             lut = np.zeros(1 << LUT_BITS, bool)
             lut[(keys & U((1 << LUT_BITS) - 1)).astype(np.int64)] = True
-            self.sketch[m] = (lut, keys, [by_hash[h] for h in keys.tolist()])
+            self.partitions.append((m, keys[-1], lut, keys, [by_hash[h] for h in keys.tolist()]))
 
     def matches(self, col: pa.Array) -> list[tuple[int, int, int]]:
         """(row, item, shared shingles) of every containment in a column of texts."""
         words = tx.Words(col, lower=True)
         row = words.row_of()
         out = []
-        for m, (lut, keys, holders) in self.sketch.items():
-            g = tx.grams(words.hash, m, m)
-            maybe = np.flatnonzero(lut[(g & U((1 << LUT_BITS) - 1)).astype(np.int64)])
-            maybe = maybe[row[maybe] == row[maybe + m - 1]]
+        grams: dict[int, np.ndarray] = {}
+        for m, greatest, lut, keys, holders in self.partitions:
+            if m not in grams:
+                grams[m] = tx.grams(words.hash, m, m)
+            g = grams[m]
+            sketch = np.flatnonzero(g <= greatest)
+            sketch = sketch[row[sketch] == row[sketch + m - 1]]
+            maybe = sketch[lut[(g[sketch] & U((1 << LUT_BITS) - 1)).astype(np.int64)]]
             place = np.searchsorted(keys, g[maybe])
             hit = (place < len(keys)) & (keys[np.minimum(place, len(keys) - 1)] == g[maybe])
             seen: dict[tuple[int, int], set[int]] = defaultdict(set)
