@@ -10,12 +10,11 @@ from __future__ import annotations
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from foldline.functions import jsonpatch as jp
-from foldline.operators import joins
 from foldline.plans.session import Session, compact_session
 from foldline.sources.transcripts import from_lines, parsed
 
@@ -46,16 +45,15 @@ def with_identity(lines: DataFrame) -> DataFrame:
 
 
 def missing_originals(records: DataFrame, mirror: DataFrame) -> DataFrame:
-    """Rows to append to the mirror: originals it lacks.  A uuid is archived once; a record
-    without one as many times as it occurs.  Records that compaction wrote are no originals."""
+    """Rows to append to the mirror: originals it lacks.  A uuid is archived once, its first
+    copy; a record without one as many times as it occurs.  Records that compaction wrote are no originals."""
     lines = records.filter("not marked").select("file_id", "pos", "uuid", F.regexp_replace("raw", "\r$", "").alias("line"))
-    new = with_identity(lines)
-    have = mirror.select("file_id", "identity")
-    by_uuid = new.filter("uuid is not null").join(have, ["file_id", "identity"], "left_anti").dropDuplicates(["file_id", "identity"])
-    by_hash = joins.append_missing(new.filter("uuid is null"), have, ["file_id", "identity"], ["pos"]).drop("copy_no")
+    have = mirror.groupBy("file_id", "identity").agg(F.count(F.lit(1)).alias("_have"))
+    copy = F.row_number().over(Window.partitionBy("file_id", "identity").orderBy("pos"))
+    new = with_identity(lines).withColumn("_copy", copy).join(have, ["file_id", "identity"], "left")
+    new = new.filter("if(uuid is null, _copy > coalesce(_have, 0), _copy = 1 and _have is null)")
     start = mirror.groupBy("file_id").agg(F.max("seq").alias("_s"))
-    both = by_uuid.unionByName(by_hash).join(start, "file_id", "left")
-    return both.select("file_id", (F.coalesce("_s", F.lit(-1)) + 1 + F.col("pos")).alias("seq"), "identity", "uuid", "line")
+    return new.join(start, "file_id", "left").select("file_id", (F.coalesce("_s", F.lit(-1)) + 1 + F.col("pos")).alias("seq"), "identity", "uuid", "line")
 
 
 def annotate(rows: list[dict]) -> None:
