@@ -18,27 +18,32 @@ def as_of_backward(df: DataFrame, part: list[str], order: list[str], asks: Colum
     return df.withColumn(name, F.last(F.when(answers, value), ignorenulls=True).over(before)).filter(asks)
 
 
-def _contained(part: list[str], lo: str, hi: str):
-    """Keeps the rows, latest first within each part, whose interval an earlier row contains."""
+def _contained(part: list[str], pos: list[str], lo: str, hi: str):
+    """Keeps the rows, latest first within each part, whose interval a later row contains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, starts, ends = None, [], []  # the part's intervals that lie in no other: both ascend
+        now = at = None
+        starts, ends, same = [], [], []  # the later rows' intervals that lie in no other: both ascend; those of this row's position
         for b in batches:
             keep = []
-            keys = zip(*(b.column(c).to_pylist() for c in part), strict=True)
-            for key, x, y in zip(keys, b.column(lo).to_pylist(), b.column(hi).to_pylist(), strict=True):
+            keys, places = (zip(*(b.column(c).to_pylist() for c in cols), strict=True) for cols in (part, pos))
+            for key, place, x, y in zip(keys, places, b.column(lo).to_pylist(), b.column(hi).to_pylist(), strict=True):
                 if key != now:
-                    now, starts, ends = key, [], []
+                    now, at, starts, ends, same = key, place, [], [], []
+                if place != at:
+                    for u, v in same:
+                        if not (i := bisect_right(starts, u)) or ends[i - 1] < v:
+                            i = bisect_left(starts, u)
+                            j = max(i, bisect_right(ends, v))
+                            starts[i:j], ends[i:j] = [u], [v]
+                    at, same = place, []
                 if x is None or None in key:
                     keep.append(False)
                     continue
                 y = inf if y is None else y
-                i = bisect_right(starts, x) - 1  # of those that begin before, the last one ends last
-                keep.append(i >= 0 and ends[i] >= y)
-                if not keep[-1]:
-                    i = bisect_left(starts, x)
-                    j = max(i, bisect_right(ends, y))
-                    starts[i:j], ends[i:j] = [x], [y]
+                i = bisect_right(starts, x)  # of those that begin before, the last one ends last
+                keep.append(i > 0 and ends[i - 1] >= y)
+                same.append((x, y))
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -51,7 +56,7 @@ def superseded(df: DataFrame, part: list[str], pos: list[str], lo: str, hi: str)
     One sort and one pass over each partition, latest rows first, that holds only the
     intervals that lie in no other: no pairs are formed, however hot a key is."""
     rows = df.repartition(*part).sortWithinPartitions(*part, *[F.desc(c) for c in pos])
-    return rows.mapInArrow(_contained(part, lo, hi), df.schema)
+    return rows.mapInArrow(_contained(part, pos, lo, hi), df.schema)
 
 
 def append_missing(new: DataFrame, archived: DataFrame, identity: list[str], order: list[str]) -> DataFrame:

@@ -1,12 +1,14 @@
 """Operators on small tables, and the plain queries against DuckDB."""
 
+import random
+import statistics
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from foldline.operators import joins, windows
-from foldline.plans import catalog, housekeeping, metrics, transcript_queries  # noqa: F401  the last registers queries
+from foldline.plans import catalog, housekeeping, metrics, rule_queries, transcript_queries  # noqa: F401  the last two register queries
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -17,6 +19,23 @@ def test_unbounded_intervals(spark):
     assert sorted(r.pos for r in joins.superseded(df, ["p"], ["pos"], "lo", "hi").collect()) == [1, 2]
 
 
+def test_intervals_equal_a_plain_search(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice("ab"), rng.randint(0, 30), rng.choice([None, *range(12)]), rng.choice([None, *range(12)])) for _ in range(400)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, p string, pos int, lo int, hi int")
+    want = [n for n, (p, at, x, y) in enumerate(rows) if x is not None and any(q == p and t > at and u is not None and u <= x and (v is None or y is not None and v >= y) for q, t, u, v in rows)]
+    assert sorted(r.n for r in joins.superseded(df, ["p"], ["pos"], "lo", "hi").collect()) == want
+
+
+def test_ranks_equal_a_sort(spark):
+    rng = random.Random(8)
+    rows = [(g, rng.choice([rng.random(), 0.5, -1.0])) for g in "ab" for _ in range(997)] + [("c", 2.0), ("a", None)]
+    got = {r.g: r for r in metrics.rank_percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"p90": 0.9, "p0": 0.0}).collect()}
+    for g in "abc":
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert (got[g].p90, got[g].p0, got[g].median, got[g].max) == (v[min(len(v) - 1, int(len(v) * 0.9))], v[0], statistics.median(v), v[-1])
+
+
 def test_surviving_ancestor_with_cycle_and_unknown(spark):
     rows = [("a", None, False), ("b", "a", True), ("c", "b", True), ("d", "c", False), ("x", "y", True), ("y", "x", True), ("z", "x", False), ("q", "nowhere", False), ("s", "s", True), ("t", "s", False)]
     df = spark.createDataFrame(rows, "node string, parent string, gone boolean")
