@@ -127,7 +127,7 @@ def _read(window: int):
                     out = {"row_key": keys[i][0], "row_tag": keys[i][1], "start": x["start"], "path": x["path"], "anchor": x["anchor"], "copies": x["copies"]}
                     if x["anchor"] is None:
                         z = a + x["n"] + window - 1
-                        out["words"] = b" ".join(words.data[s:e].tobytes() for s, e in zip(words.start[a:z].tolist(), words.end[a:z].tolist(), strict=True)).decode("utf-8", "replace")
+                        out["words"] = words.joined(a, z).decode("utf-8", "replace")
                         size += len(out["words"])
                     else:
                         out["edges"] = edges[a : a + x["n"]].tolist()
@@ -152,8 +152,8 @@ def _kept(window: int):
             ids = b.column("doc_id")
             out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": []}
             for i, spans in enumerate(b.column("spans").to_pylist()):
-                mine = words.text(i)
-                n = len(mine)
+                first, last = int(words.ptr[i]), int(words.ptr[i + 1])
+                n = last - first
                 delta = np.zeros(n + 1, np.int64)
                 for s in spans or ():
                     if s["mask"] is None:  # all of them
@@ -164,11 +164,12 @@ def _kept(window: int):
                         if s["mask"] >> j & 1:
                             delta[s["start"] + j] += 1
                             delta[s["start"] + j + window] -= 1
-                gone = np.cumsum(delta[:-1]) > 0
-                kept = [w for w, g in zip(mine, gone.tolist(), strict=True) if not g] if spans else mine
+                here = np.cumsum(delta[:-1]) == 0
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], here, [False]]).astype(np.int8)))  # of the runs of kept words
+                kept = b" ".join(words.joined(first + a, first + b) for a, b in edge.reshape(-1, 2).tolist())
                 out["n_words"].append(n)
-                out["n_removed"].append(n - len(kept))
-                out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
+                out["n_removed"].append(n - int(here.sum()))
+                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([ids, pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_sha256"], pa.string())], names=["doc_id", *out])
 
     return run

@@ -81,7 +81,7 @@ class Words:
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.ptr = np.searchsorted(self.start, off)
-        self._hash = None
+        self._hash = self._odd = None
 
     @property
     def hash(self) -> np.ndarray:
@@ -97,6 +97,19 @@ class Words:
         """The row that each word belongs to."""
         return np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))
 
+    def joined(self, a: int, b: int) -> bytes:
+        """Words a to b - 1 of one row, joined by one space each: the bytes as they stand where
+        they are so already."""
+        if self._odd is None:
+            apart = np.zeros(len(self.start), bool)
+            apart[1:] = (self.start[1:] - self.end[:-1] != 1) | (self.data[np.minimum(self.end[:-1], len(self.data) - 1)] != 0x20)
+            self._odd = np.append(0, np.cumsum(apart))  # odd gaps before the words
+        if a >= b:
+            return b""
+        if self._odd[b] == self._odd[a + 1]:
+            return self.data[self.start[a] : self.end[b - 1]].tobytes()
+        return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True))
+
     def text(self, row: int) -> list[bytes]:
         a, b = self.ptr[row], self.ptr[row + 1]
         return [self.data[s:e].tobytes() for s, e in zip(self.start[a:b], self.end[a:b], strict=True)]
