@@ -116,12 +116,12 @@ def _pairs(index: Index):
 
 def _clean(index: Index, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tx.chunked(batches, text_col):
+        for b in tx.chunked(batches, text_col, tx.LEAN_BYTES):
             keep = np.ones(b.num_rows, bool)
             keep[[r for r, _, _ in index.matches(b.column(b.schema.get_field_index(text_col)))]] = False
             yield b.filter(pa.array(keep))
 
-    return run
+    return tx.tidy(run)
 
 
 def _blocks(benchmark: DataFrame, k: int, percent: int, block_bytes: int, item_col: str, text_col: str) -> Iterator[Index]:

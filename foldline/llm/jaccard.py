@@ -101,7 +101,7 @@ def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         names = ["doc_id", "size", "c1", "c2", "part", "counts"]
-        for b in tx.chunked(batches, "text"):
+        for b in tx.chunked(batches, "text", tx.LEAN_BYTES):
             s, edge = shingle_sets(tx.Words(b.column("text"), lower=True), k)
             total += np.bincount(_bucket(s), minlength=len(total))
             c1, c2 = (pa.array(tx.signed(_total(s, edge, x))) for x in (0x243F6A8885A308D3, 0x13198A2E03707344))
@@ -110,7 +110,7 @@ def _signatures(k: int):
             none = pa.nulls(SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())], names=names)
 
-    return run
+    return tx.tidy(run)
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def _prefixes(k: int, percent: int, most: int, levels: bytes):
         return (level[_bucket(s)].astype(U) << U(64 - LEVEL_BITS)) | (s >> U(LEVEL_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tx.chunked(batches, "text"):
+        for b in tx.chunked(batches, "text", tx.LEAN_BYTES):
             token, edge = shingle_sets(tx.Words(b.column("text"), lower=True), k, order)
             size = np.diff(edge)
             _, first = np.unique(_total(token, edge, 0x452821E638D01377), return_index=True)
@@ -157,12 +157,12 @@ def _prefixes(k: int, percent: int, most: int, levels: bytes):
             place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             yield pa.RecordBatch.from_arrays([pa.array(tx.signed(token[edge[row] + place])), b.column("doc_id").take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(place.astype(np.int32))], names=["token", "doc_id", "size", "place"])
 
-    return run
+    return tx.tidy(run)
 
 
 def _linked(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tx.chunked(batches, "text_x"):
+        for b in tx.chunked(batches, "text_x", tx.LEAN_BYTES):
             sx, ex = shingle_sets(tx.Words(b.column("text_x"), lower=True), k)
             sy, ey = shingle_sets(tx.Words(b.column("text_y"), lower=True), k)
             ok = np.zeros(b.num_rows, bool)
@@ -173,7 +173,7 @@ def _linked(k: int, percent: int):
                 ok[i] = len(both) > n and 100 * n >= percent * (len(both) - n)
             yield b.select(["x", "y"]).filter(pa.array(ok))
 
-    return run
+    return tx.tidy(run)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:

@@ -36,8 +36,8 @@ from foldline.llm.shared import drop, table
 
 U = np.uint64
 MARK = 0x2581
-#: Letters of a word whose sum stays within a double's range, and words that a task remembers.
-SHORT, KNOWN = 30, 400_000
+#: Letters of a word whose sum stays within a double's range, words that a task remembers, and letters of one lattice.
+SHORT, KNOWN, LETTERS = 30, 400_000, 100_000
 _BASE = U(0x9E3779B97F4A7C15)
 _GAIN = 2.0  # each letter's share is scaled by e**_GAIN
 
@@ -232,7 +232,7 @@ def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return row, number, out, begin[:-1], hashes
 
 
-def _groups(cps: np.ndarray, start: np.ndarray, wanted: np.ndarray | None = None, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+def _groups(cps: np.ndarray, start: np.ndarray, wanted: np.ndarray | None = None, most: int = LETTERS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
     """The wanted words in groups of about ``most`` letters (one word at least): their code
     points, where each begins, their numbers, and whether they are short."""
     size = np.diff(np.append(start, len(cps)))
@@ -252,7 +252,7 @@ def _groups(cps: np.ndarray, start: np.ndarray, wanted: np.ndarray | None = None
 def _expect(names: list[str], langs: list[str], prob: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, total = Pieces(names), np.zeros(prob.shape)
-        for b in tx.chunked(batches, "text"):
+        for b in tx.chunked(batches, "text", tx.LEAN_BYTES):
             row, number, cps, start, _ = _words(b.column("text"))
             if not len(row):
                 continue
@@ -274,7 +274,7 @@ def _expect(names: list[str], langs: list[str], prob: np.ndarray):
                     total[:, j] += np.bincount(lat.p, weights=share[:, j], minlength=vocab.size)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
-    return run
+    return tx.tidy(run)
 
 
 def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 400, rounds: int = 3, vocabulary: str | None = None) -> dict:
@@ -352,12 +352,12 @@ def _predict(model: dict):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(model)
-        for b in tx.chunked(batches, "text"):
+        for b in tx.chunked(batches, "text", tx.LEAN_BYTES):
             best, score = classify(b.column("text"))
             keep = [b.column(i) for i, f in enumerate(b.schema) if f.name != "text"]
             yield pa.RecordBatch.from_arrays([*keep, langs.take(pa.array(best)), pa.array(score)], names=[*(f.name for f in b.schema if f.name != "text"), "lang_pred", "score"])
 
-    return run
+    return tx.tidy(run)
 
 
 def _identified(model: dict, text_col: str, lang_col: str, least: float):
@@ -365,13 +365,13 @@ def _identified(model: dict, text_col: str, lang_col: str, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(model)
-        for b in tx.chunked(batches, text_col):
+        for b in tx.chunked(batches, text_col, tx.LEAN_BYTES):
             best, score = classify(b.column(b.schema.get_field_index(text_col)))
             at = b.schema.get_field_index(lang_col)
             b = b.set_column(at, b.schema.field(at), langs.take(pa.array(best)).cast(b.schema.field(at).type))
             yield b.filter(pa.array((best < len(langs) - 1) & (score >= least)))
 
-    return run
+    return tx.tidy(run)
 
 
 def keep_identified(documents: DataFrame, model: dict, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

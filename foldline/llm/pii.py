@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldline.llm import text as tx
+
 # The kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -343,7 +345,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def _redact(model: dict, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tx.chunked(batches, column, tx.LEAN_BYTES):
             at = b.schema.get_field_index(column)
             texts = []
             for text in b.column(at).to_pylist():
@@ -351,7 +353,7 @@ def _redact(model: dict, column: str):
                 texts.append(redacted(text, base + added_spans(text, base, model)) if base else text)
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    return run
+    return tx.tidy(run)
 
 
 def redact(documents: DataFrame, model: dict, text_col: str = "text") -> DataFrame:

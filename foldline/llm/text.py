@@ -8,7 +8,8 @@ word sequence: it does not depend on batch borders, partitions or the process.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ U = np.uint64
 _MULT, _MULT_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _GRAM, _GRAM_INV = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 CHUNK_BYTES = 2 << 20
+#: For stages whose workers run beside an executor heap that earlier stages have filled.
+LEAN_BYTES = CHUNK_BYTES // 4
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -152,6 +155,26 @@ def chunked(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYT
             a = b
 
 
+def release() -> None:
+    """Give the system back what this process has freed; allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function for mapInArrow; a worker that waits for its next task then holds little
+    of the last one's."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
