@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 
 from foldline.functions import jsonpatch as jp
 from foldline.plans.session import Session, compact_session
+from foldline.sources.grouped import per_file
 from foldline.sources.transcripts import from_lines, parsed
 
 OUT = "file_id string, pos int, line string, rule string, refused string, bytes long"
@@ -117,7 +118,7 @@ def rewrite(records: DataFrame, copies: DataFrame | None = None) -> DataFrame:
         rows = records.withColumn("fork_of", F.lit(None).cast("array<string>"))
     else:
         rows = records.join(copies.groupBy("file_id", "uuid").agg(F.collect_set(F.lower("parent")).alias("fork_of")), ["file_id", "uuid"], "left")
-    return rows.groupBy("file_id").applyInArrow(_rewrite, OUT)
+    return per_file(rows, _rewrite, OUT)
 
 
 def _compact(t: pa.Table) -> pa.Table:
@@ -131,7 +132,7 @@ _OUT = pa.schema([("file_id", pa.string()), ("pos", pa.int32()), ("line", pa.str
 def compact_lines(lines: DataFrame) -> DataFrame:
     """The plan over a table of file_id, pos, line: parsed and rewritten in one task for each
     session, without an archive."""
-    return lines.select("file_id", "pos", "line").groupBy("file_id").applyInArrow(_compact, OUT)
+    return per_file(lines.select("file_id", "pos", "line"), _compact, OUT)
 
 
 def violations(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -263,16 +263,20 @@ def write_back(spark, d):
     """Lines of each file at first, after a pass that replaces files, and after the originals
     are put back (which freezes the session: the pass after that changes nothing)."""
     from foldline.plans import verbs
+    from foldline.sources.scratch import small_files
 
     cut, top = _written(spark, d, units(spark, d), user(F.col("text")), bare("last-prompt", lastPrompt=F.col("text")))
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl$", 1).alias("file_id")
-    count = lambda c: cut(spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.jsonl").text(f"{top}/in").groupBy(name).agg(F.count(F.lit(1)).alias(c)))
+
+    def count(c: str) -> DataFrame:
+        with small_files(spark):
+            return cut(spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.jsonl").text(f"{top}/in").groupBy(name).agg(F.count(F.lit(1)).alias(c)))
+
     places = [f"{top}/in", f"{top}/mirror", f"{top}/out"]
     before = count("before")
     state = verbs.compact_in_place(spark, *places).select("file_id", "state")
     rewritten = count("rewritten")
-    names = [r.file_id for r in before.select("file_id").collect()]
-    verbs.restore_on(spark, places[0], places[1], f"{top}/state", names)
+    verbs.restore_on(spark, places[0], places[1], f"{top}/state", before)
     verbs.compact_in_place(spark, *places, frozen=verbs.frozen_sessions(spark, f"{top}/state"))
     return before.join(state, "file_id", "left").join(rewritten, "file_id").join(count("restored"), "file_id").select("file_id", "state", "before", "rewritten", "restored")
 

@@ -14,7 +14,7 @@ from foldline.functions import jsonpatch as jp
 from foldline.plans import compaction, housekeeping, session
 from foldline.plans import wording as wd
 from foldline.sources import jsonl, transcripts
-from foldline.sources.scratch import Scratch
+from foldline.sources.scratch import Scratch, small_files
 from foldline.sources.transcripts import blocks
 
 EXTENSIONS = {"image/png": ".png", "image/jpeg": ".jpg", "image/webp": ".webp", "image/gif": ".gif", "application/pdf": ".pdf"}
@@ -27,10 +27,15 @@ def compact(spark: SparkSession, path: str, mirror_path: str, out_path: str, fro
     loss.  A fork's archive adopts its parents' records before its records name it (if it had
     an archive, restore it with merged=True).  only: the sessions (file_id) to look at, all if
     there is none.  The result (file_id, pos, line, rule, refused, bytes) is written to out_path."""
-    cut = Scratch(spark).cut
     records = transcripts.scan(spark, path)
     if only is not None:
         records = records.join(only.select("file_id").distinct(), "file_id", "left_semi")
+    with Scratch(spark).table(records) as once:
+        return _compact(spark, once, mirror_path, out_path, frozen)
+
+
+def _compact(spark: SparkSession, records: DataFrame, mirror_path: str, out_path: str, frozen: DataFrame | None) -> DataFrame:
+    cut = Scratch(spark).cut
     mirror = read_mirror(spark, mirror_path)
     marked = cut(housekeeping.marks(records))
     records = records.join(cut(housekeeping.left_alone(marked, mirror)), "file_id", "left_anti")
@@ -47,7 +52,8 @@ def compact_in_place(spark: SparkSession, path: str, mirror_path: str, out_path:
     """compact(), and every transcript that it changed is replaced, unless it has grown since
     it was listed (its next pass will see what was added).  file_id, path, state, bytes."""
     cut = Scratch(spark).cut
-    where = cut(jsonl.files(spark, path))  # before anything is read
+    with small_files(spark):
+        where = cut(jsonl.files(spark, path))  # before anything is read
     result = compact(spark, path, mirror_path, out_path, frozen, only)
     changed = result.groupBy("file_id").agg(F.bool_or(F.col("rule").isNotNull()).alias("c")).filter("c").select("file_id")
     return cut(jsonl.swap(result, where.join(changed, "file_id", "left_semi")))
@@ -56,9 +62,14 @@ def compact_in_place(spark: SparkSession, path: str, mirror_path: str, out_path:
 FROZEN = "file_id string, frozen boolean, at timestamp"
 
 
-def freeze(spark: SparkSession, state_path: str, names: list[str], frozen: bool = True) -> None:
-    """Marks sessions as frozen (archived, never rewritten), or as free again."""
-    rows = spark.createDataFrame([(n, frozen) for n in names], "file_id string, frozen boolean")
+def _named(spark: SparkSession, names: list[str] | DataFrame) -> DataFrame:
+    return names.select("file_id") if isinstance(names, DataFrame) else spark.createDataFrame([(n,) for n in names], "file_id string")
+
+
+def freeze(spark: SparkSession, state_path: str, names: list[str] | DataFrame, frozen: bool = True) -> None:
+    """Marks sessions (names, or a table's file_id) as frozen (archived, never rewritten), or
+    as free again."""
+    rows = _named(spark, names).withColumn("frozen", F.lit(frozen))
     rows.withColumn("at", F.current_timestamp()).write.mode("append").parquet(state_path)
 
 
@@ -67,26 +78,27 @@ def frozen_sessions(spark: SparkSession, state_path: str) -> DataFrame:
     return _read(spark, state_path, FROZEN).groupBy("file_id").agg(F.max_by("frozen", "at").alias("f")).filter("f").select("file_id")
 
 
-def restore_on(spark: SparkSession, path: str, mirror_path: str, state_path: str, names: list[str], merged: bool = False) -> DataFrame:
+def restore_on(spark: SparkSession, path: str, mirror_path: str, state_path: str, names: list[str] | DataFrame, merged: bool = False) -> DataFrame:
     """Puts the originals of sessions back in their files and freezes those sessions.  Sessions
     whose archive lacks a live record, and files that grow meanwhile, stay as they are and
-    are not frozen.  file_id, path, state, bytes."""
-    cut = Scratch(spark).cut
-    wanted = spark.createDataFrame([(n,) for n in names], "file_id string")
-    where = cut(jsonl.files(spark, path).join(wanted, "file_id", "left_semi"))
-    live = transcripts.scan(spark, path).join(wanted, "file_id", "left_semi")
-    mirror = read_mirror(spark, mirror_path).join(wanted, "file_id", "left_semi")
-    # What came since the last pass is archived first.
-    compaction.missing_originals(live, mirror).write.mode("append").parquet(mirror_path)
-    mirror = read_mirror(spark, mirror_path).join(wanted, "file_id", "left_semi")
-    report = cut(jsonl.swap(restored(mirror, live, merged), where))
-    done = [r.file_id for r in report.filter("state = 'written'").select("file_id").collect()]  # of the names given
-    if done:
+    are not frozen.  names: a list, or a table's file_id.  file_id, path, state, bytes."""
+    scratch = Scratch(spark)
+    wanted = scratch.cut(_named(spark, names))
+    with small_files(spark):
+        where = scratch.cut(jsonl.files(spark, path).join(wanted, "file_id", "left_semi"))
+    with scratch.table(transcripts.scan(spark, path).join(wanted, "file_id", "left_semi")) as live:
+        mirror = read_mirror(spark, mirror_path).join(wanted, "file_id", "left_semi")
+        # What came since the last pass is archived first.
+        compaction.missing_originals(live, mirror).write.mode("append").parquet(mirror_path)
+        mirror = read_mirror(spark, mirror_path).join(wanted, "file_id", "left_semi")
+        report = scratch.cut(jsonl.swap(restored(mirror, live, merged), where))
+    done = report.filter("state = 'written'")
+    if not done.isEmpty():
         freeze(spark, state_path, done)
     return report
 
 
-def restore_off(spark: SparkSession, state_path: str, names: list[str]) -> None:
+def restore_off(spark: SparkSession, state_path: str, names: list[str] | DataFrame) -> None:
     """Lets later passes rewrite the sessions again."""
     freeze(spark, state_path, names, False)
 

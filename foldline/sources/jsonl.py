@@ -17,13 +17,20 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldline.sources.grouped import per_file
+from foldline.sources.transcripts import listed
+
 REPORT = "file_id string, path string, state string, bytes long"
 _SCHEMA = pa.schema([("file_id", pa.string()), ("path", pa.string()), ("state", pa.string()), ("bytes", pa.int64())])
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """file_id, path and length of the transcripts under a folder."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(path)
+    return lengths(listed(spark, path))
+
+
+def lengths(found: DataFrame) -> DataFrame:
+    """The same of files that are listed."""
     return found.select(F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("file_id"), "path", "length")
 
 
@@ -73,7 +80,7 @@ def swap(lines: DataFrame, where: DataFrame) -> DataFrame:
     """Replaces each file (where: file_id, path, length as read) by its lines (file_id, pos,
     line; null lines go).  An action per row of the report: write it once."""
     rows = lines.select("file_id", "pos", "line").join(where.select("file_id", "path", "length"), "file_id")
-    return rows.groupBy("file_id").applyInArrow(_swap, REPORT)
+    return per_file(rows, _swap, REPORT)
 
 
 def _append(folder: str):
@@ -103,4 +110,4 @@ def _append(folder: str):
 def append(lines: DataFrame, folder: str) -> DataFrame:
     """Adds lines (file_id, pos, line) to each session's file under a folder, made if it is not
     there.  An action per row of the report: write it once."""
-    return lines.select("file_id", "pos", "line").groupBy("file_id").applyInArrow(_append(folder), REPORT)
+    return per_file(lines.select("file_id", "pos", "line"), _append(folder), REPORT)

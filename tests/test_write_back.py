@@ -1,12 +1,14 @@
 """Transcripts replaced in place: atomic swap, frozen sessions, stamps, passes of a stream."""
 
 import base64
+import os
 
+import pyarrow as pa
 import pytest
 from transcript import Builder, readable
 
 from foldline.plans import housekeeping, metrics, payload, verbs
-from foldline.sources import jsonl, transcripts
+from foldline.sources import grouped, jsonl, scratch, transcripts
 from foldline.streaming import events
 
 
@@ -60,6 +62,60 @@ def test_restore_puts_originals_back_and_freezes(spark, tmp_path, places):
     assert (src / "aaaa-session.jsonl").stat().st_size == small
 
 
+def test_a_verb_reads_each_transcript_once(spark, tmp_path, places, monkeypatch):
+    src, a, agent, where = places
+    log, was = tmp_path / "log", transcripts._decode
+
+    def logged(batches):
+        def seen():
+            for b in batches:
+                with log.open("a") as f:
+                    f.write("".join(f"{p}\n" for p in b.column("path").to_pylist()))
+                yield b
+
+        return was(seen())
+
+    monkeypatch.setattr(transcripts, "_decode", logged)
+    once = sorted(f"file:{src}/{n}" for n in ("aaaa-session.jsonl", "aaaa-session/subagents/agent-1.jsonl"))
+    read = lambda: sorted(log.read_text().splitlines())
+    assert {r.state for r in verbs.compact_in_place(spark, *where).collect()} == {"written"}
+    assert read() == once
+    names = spark.createDataFrame([("aaaa-session",), ("agent-1",)], "file_id string")
+    assert {r.state for r in verbs.restore_on(spark, where[0], where[1], f"file://{tmp_path}/state", names).collect()} == {"written"}
+    assert read() == sorted(once * 2)
+    assert (src / "aaaa-session.jsonl").read_text() == a.text and (src / "aaaa-session/subagents/agent-1.jsonl").read_text() == agent.text
+    verbs.compact_in_place(spark, *where, frozen=verbs.frozen_sessions(spark, f"file://{tmp_path}/state"))
+    assert read() == sorted(once * 3)
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / f"{i}.jsonl").write_text('{"type":"x"}\n')
+    before = [spark.conf.get(k, None) for k in scratch.SMALL]
+    with scratch.small_files(spark):
+        assert transcripts.scan(spark, f"file://{tmp_path}").rdd.getNumPartitions() <= 5
+    assert [spark.conf.get(k, None) for k in scratch.SMALL] == before
+    with scratch.Scratch(spark).table(transcripts.scan(spark, f"file://{tmp_path}")) as t:
+        path = t.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+        assert t.count() == 400 and os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
+def test_files_share_batches_and_span_them(spark):
+    rows = [(f"f{i:02d}" if i else None, p, "x" * p) for i in range(40) for p in range(1 + 7 * (i % 3))]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    try:
+        seen = grouped.per_file(spark.createDataFrame(rows, "file_id string, pos int, line string"), lambda t: pa.table({"file_id": t.column("file_id")[:1], "n": [t.num_rows], "last": pa.array([max(t.column("pos").to_pylist())], pa.int32())}), "file_id string, n long, last int")
+        assert sorted((r.file_id or "", r.n, r["last"]) for r in seen.collect()) == sorted((f"f{i:02d}" if i else "", 1 + 7 * (i % 3), 7 * (i % 3)) for i in range(40))
+    finally:
+        spark.conf.set(key, before)
+    batches = [pa.RecordBatch.from_pydict({"file_id": x}) for x in (["a", "a", "b"], ["b", "b"], ["c"])]
+    assert [t.column("file_id").to_pylist() for t in grouped.tables(iter(batches))] == [["a", "a"], ["b", "b", "b"], ["c"]]
+    assert list(grouped.tables(iter([]))) == []
+
+
 def test_passes_of_a_batch_stamp_compact_and_sweep(spark, tmp_path, places):
     src, a, agent, where = places
     stamps, state, swept = f"file://{tmp_path}/stamps", f"file://{tmp_path}/state", []
